@@ -3,15 +3,17 @@
 Each document has a vector of text statistics, transformed towards normality and shrunk for short
 texts. Per language and source, the minimum covariance determinant estimates location and scatter:
 of ``SUPPORT`` of the documents, those whose covariance has the least determinant. Concentration
-steps find it from two starts (medians and MADs; these with the correlation of clipped scores): each
-takes the documents with the least Mahalanobis distances under the last estimate and estimates anew.
-A step is two aggregations over all documents' vectors, so that a group of any size is never gathered
-in one place; the start with the lesser determinant wins. Documents beyond the cutoff are rejected.
+steps find it from two starts (medians and quartiles; these with the correlation of clipped scores):
+each takes the documents with the least Mahalanobis distances under the last estimate and estimates
+anew. In a step every task adds up, for each group and bin of distance, the moments of all its documents'
+vectors; the group's bins are then summed up to the one in which the support is reached. A group of any
+size is thus never gathered in one place. The start with the lesser determinant wins. Documents beyond
+the cutoff are rejected.
 
 Defined cases: null language or source forms a group of its own; null or empty text, or text of white
 space, has no statistics and is rejected; a group with fewer than ``LEAST`` documents, or one whose
 scatter is singular (all rows equal), borrows the estimate over the whole table, and if that is
-singular too all stay; repeated rows are judged alike; ties at the support's edge are all taken;
+singular too all stay; repeated rows are judged alike; documents in the bin at the support's edge are all taken;
 an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -21,10 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffer_of, clean_text, join_checked, materialize, pieces
+from .common import buffer_of, clean_text, materialize, pieces
 from .near_dedup import words_of
 
 SUPPORT = 0.75
@@ -100,108 +102,159 @@ def vectors(docs: DataFrame) -> DataFrame:
     return found.withColumn("g", F.to_json(F.struct("lang", "source")))
 
 
-def _distance(centre: str, inverse: str) -> Column:
-    """Squared Mahalanobis distance; the inverse is the rows of a triangular factor one after the other."""
-    total, at = F.lit(0.0), 0
-    for i in range(P):
-        y = F.lit(0.0)
-        for j in range(i + 1):
-            y = y + F.get(inverse, F.lit(at)) * (F.col(f"x{j}") - F.get(centre, F.lit(j)))
-            at += 1
-        total = total + y * y
-    return total
+PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
+#: Squared distances are counted in so many bins of equal width in the logarithm, between these powers of e.
+BINS, LOWEST, HIGHEST = 256, -7.0, 9.0
 
 
-PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
+def distances(x: np.ndarray, centre: np.ndarray, factor: np.ndarray) -> np.ndarray:
+    """Squared Mahalanobis distances under the rows of an inverse triangular factor."""
+    return (((x - centre) @ factor.T) ** 2).sum(1)
 
 
-def _factor(cov: np.ndarray) -> list[float] | None:
-    """Rows of the inverse of the covariance's Cholesky factor; None if it is singular."""
+def factor_of(cov: np.ndarray) -> np.ndarray | None:
+    """Inverse of the covariance's Cholesky factor; None if it is singular."""
     scale = np.sqrt(np.maximum(cov.diagonal(), 0))
     if not np.isfinite(cov).all() or (scale < 1e-9).any():
         return None
     corr = cov / np.outer(scale, scale)
     if np.linalg.eigvalsh(corr)[0] < 1e-8:
         return None
-    inverse = np.linalg.inv(np.linalg.cholesky(corr)) / scale
-    return [float(inverse[i, j]) for i, j in PAIRS]
+    return np.linalg.inv(np.linalg.cholesky(corr)) / scale
 
 
-def _moments(prefix: str, chosen: Column, values: list[Column]) -> list[Column]:
-    take = lambda c: F.sum(F.when(chosen, c))
-    return [F.array(take(F.lit(1.0)), *map(take, values), *(take(values[i] * values[j]) for i, j in PAIRS)).alias(prefix)]
+def moments_of(x: np.ndarray) -> np.ndarray:
+    """Count, sums and sums of products of each row, side by side."""
+    return np.concatenate([np.ones((len(x), 1)), x, np.stack([x[:, i] * x[:, j] for i, j in PAIRS], 1)], 1)
 
 
-def _estimate(m: list[float]) -> tuple[np.ndarray, np.ndarray]:
-    if not m or not m[0]:
-        return np.full(P, np.nan), np.full((P, P), np.nan)
-    mean = np.array(m[1 : P + 1]) / m[0]
+def estimate(m: np.ndarray, about: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance from summed moments of vectors taken from a point near their mean."""
+    mean = m[1 : P + 1] / m[0]
     cov = np.zeros((P, P))
     for (i, j), v in zip(PAIRS, m[P + 1 :]):
         cov[i, j] = cov[j, i] = v / m[0] - mean[i] * mean[j]
-    return mean, cov
+    return mean + about, cov
+
 
+def _by_group(table: DataFrame, binned, estimated, result: str) -> list:
+    """One row for each group. binned(g, x) gives (start, bin) keys and moments of a batch's vectors of a
+    group; they are added up per task, and estimated(g, sums by start, by bin) ends in a row."""
 
-def mcd(table: DataFrame, support: float = SUPPORT, steps: int = STEPS) -> dict[str, tuple[int, list[float], list[float]]]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+        for b in batches:
+            code = b.column(0).dictionary_encode()
+            x = np.stack([b.column(k + 1).to_numpy() for k in range(P)], 1)
+            at = code.indices.to_numpy()
+            order = np.argsort(at, kind="stable")
+            cuts = np.searchsorted(at[order], np.arange(len(code.dictionary) + 1))
+            for k, g in enumerate(code.dictionary.to_pylist()):
+                own = binned(g, x[order[cuts[k] : cuts[k + 1]]])
+                if own is not None:
+                    held[g] = held[g] + own if g in held else own
+        for g, m in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([g]), pa.array([m.tobytes()], pa.binary())], ["g", "m"])
+
+    def total(t: pa.Table) -> pa.Table:
+        m = sum(np.frombuffer(v.as_buffer()) for v in t["m"])
+        return estimated(t["g"][0].as_py(), m)
+
+    return table.mapInArrow(partial, "g string, m binary").groupBy("g").applyInArrow(total, result).collect()
+
+
+def mcd(table: DataFrame, support: float = SUPPORT, steps: int = STEPS) -> dict[str, tuple[int, np.ndarray | None, np.ndarray | None]]:
     """For each group g of table (g, x0..): number of rows, centre and inverse factor of the consistent
     scatter. A group whose scatter is singular has neither. What comes to the driver is one row a group."""
-    spark = table.sparkSession
     xs = [f"x{k}" for k in range(P)]
-    by: dict[str, dict] = {}
-    for r in table.groupBy("g").agg(F.count("*").alias("n"), *[F.percentile_approx(x, 0.5, 10000).alias(x) for x in xs]).collect():
-        by[r["g"]] = {"n": r["n"], "mid": np.array([r[x] for x in xs])}
-
-    def with_params(**columns: dict[str, list]) -> DataFrame:
-        rows = [(g, *(c.get(g) for c in columns.values())) for g in by]
-        side = spark.createDataFrame(rows, "g string, " + ", ".join(f"{k} array<double>" for k in columns))
-        return join_checked(table, side, ["g"], "inner")
-
-    mid = {g: v["mid"].tolist() for g, v in by.items()}
-    gap = lambda k: F.abs(F.col(f"x{k}") - F.get("mid", F.lit(k)))
-    for r in with_params(mid=mid).groupBy("g").agg(*[F.percentile_approx(gap(k), 0.5, 10000).alias(f"x{k}") for k in range(P)]).collect():
-        by[r["g"]]["mad"] = np.maximum(1.4826 * np.array([r[x] for x in xs]), 1e-6)
-    mad = {g: v["mad"].tolist() for g, v in by.items()}
-    clipped = [F.tanh((F.col(f"x{k}") - F.get("mid", F.lit(k))) / F.get("mad", F.lit(k))) for k in range(P)]
-    params: dict[str, list] = {g: [] for g in by}
-    for r in with_params(mid=mid, mad=mad).groupBy("g").agg(*_moments("m", F.lit(True), clipped)).collect():
-        v = by[r["g"]]
-        _, cov = _estimate(r["m"])
+    table = table.select("g", *xs)
+    size, mid, mad = {}, {}, {}
+    for r in table.groupBy("g").agg(F.count("*").alias("n"), *[F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10000).alias(x) for x in xs]).collect():
+        q = np.array([r[x] for x in xs])
+        size[r["g"]], mid[r["g"]] = r["n"], q[:, 1]
+        mad[r["g"]] = np.maximum((q[:, 2] - q[:, 0]) / 1.349, 1e-6)
+    wide = len(PAIRS) + P + 1
+
+    def clipped(g: str, x: np.ndarray) -> np.ndarray:
+        return moments_of(np.tanh((x - mid[g]) / mad[g])).sum(0)
+
+    def first(g: str, m: np.ndarray) -> pa.Table:
+        _, cov = estimate(m, np.zeros(P))
         sd = np.sqrt(np.maximum(cov.diagonal(), 1e-12))
-        diagonal = np.diag(v["mad"] ** 2)
-        params[r["g"]] = [(v["mid"], _factor(diagonal)), (v["mid"], _factor(np.outer(v["mad"], v["mad"]) * (cov / np.outer(sd, sd))) or _factor(diagonal))]
+        return pa.table([[g], [(cov / np.outer(sd, sd)).ravel().tolist()]], ["g", "corr"])
+
+    starts: dict[str, list] = {}
+    for r in _by_group(table, clipped, first, "g string, corr array<double>"):
+        g = r["g"]
+        plain = factor_of(np.diag(mad[g] ** 2))
+        tied = factor_of(np.outer(mad[g], mad[g]) * np.array(r["corr"]).reshape(P, P))
+        starts[g] = [(mid[g], plain), (mid[g], plain if tied is None else tied)]
+
+    def binned(g: str, x: np.ndarray) -> np.ndarray | None:
+        if g not in starts:
+            return None
+        out = np.zeros((2, BINS, wide))
+        m = moments_of(x - mid[g])
+        for s, (centre, factor) in enumerate(starts[g]):
+            d = np.log(np.maximum(distances(x, centre, factor), 1e-12))
+            at = np.clip((d - LOWEST) / (HIGHEST - LOWEST) * BINS, 0, BINS - 1).astype(int)
+            np.add.at(out[s], at, m)
+        return out.ravel()
+
+    def concentrate(g: str, m: np.ndarray) -> pa.Table:
+        m = m.reshape(2, BINS, wide)
+        means, covs = [], []
+        for s in (0, 1):
+            seen = np.cumsum(m[s, :, 0])
+            last = int(np.searchsorted(seen, support * seen[-1]))  # the bin in which the support is reached
+            mean, cov = estimate(m[s, : last + 1].sum(0), mid[g])
+            means, covs = means + mean.tolist(), covs + cov.ravel().tolist()
+        return pa.table([[g], [means], [covs]], ["g", "means", "covs"])
+
     final: dict[str, list] = {}
     for _ in range(steps):
-        live = {g: p for g, p in params.items() if all(f for _, f in p)}
-        if not live:
+        if not starts:
             break
-        columns = {f"{k}{s}": {g: list(map(float, p[s][k == "f"])) for g, p in live.items()} for s in (0, 1) for k in "cf"}
-        measured = with_params(**columns).where("c0 is not null")
-        for s in (0, 1):
-            measured = measured.withColumn(f"d{s}", _distance(f"c{s}", f"f{s}"))
-        measured = measured.select("g", "d0", "d1", *xs)
-        edges = measured.groupBy("g").agg(*[F.percentile_approx(f"d{s}", support, 10000).alias(f"q{s}") for s in (0, 1)])
-        chosen = measured.join(F.broadcast(edges), "g") if len(live) < 100_000 else measured.join(edges, "g")
-        for r in chosen.groupBy("g").agg(*_moments("m0", F.col("d0") <= F.col("q0"), [F.col(x) for x in xs]), *_moments("m1", F.col("d1") <= F.col("q1"), [F.col(x) for x in xs])).collect():
-            found = [_estimate(r["m0"]), _estimate(r["m1"])]
-            final[r["g"]] = found
-            params[r["g"]] = [(mean, _factor(cov)) for mean, cov in found]
+        found = _by_group(table, binned, concentrate, "g string, means array<double>, covs array<double>")
+        following = {}
+        for r in found:
+            both = [*zip(np.array(r["means"]).reshape(2, P), np.array(r["covs"]).reshape(2, P, P))]
+            final[r["g"]] = both
+            factors = [factor_of(cov) for _, cov in both]
+            if all(f is not None for f in factors):
+                following[r["g"]] = [(mean, f) for (mean, _), f in zip(both, factors)]
+        starts = following
     out = {}
-    for g, v in by.items():
-        best = min((x for x in final.get(g, []) if _factor(x[1])), key=lambda x: np.linalg.slogdet(x[1])[1], default=None)
-        out[g] = (v["n"], best[0].tolist(), _factor(best[1] * CONSISTENCY)) if best else (v["n"], None, None)
+    for g, n in size.items():
+        best = min((x for x in final.get(g, []) if factor_of(x[1]) is not None), key=lambda x: np.linalg.slogdet(x[1])[1], default=None)
+        out[g] = (n, best[0], factor_of(best[1] * CONSISTENCY)) if best else (n, None, None)
     return out
 
 
 def judged(docs: DataFrame, support: float = SUPPORT, cutoff: float = CUTOFF) -> DataFrame:
     """doc_id, lang, source, x0.., d2 and accepted for each row; d2 is null where nothing can be measured."""
     table = materialize(vectors(docs), "statistics")
-    spark = docs.sparkSession
-    whole = table.where("x0 is not null").select("g", *[f"x{k}" for k in range(P)])
+    whole = table.where("x0 is not null")
     found = mcd(whole, support)
-    if any(n < LEAST or not c for n, c, _ in found.values()):
+    if any(n < LEAST or c is None for n, c, _ in found.values()):
         common = mcd(whole.withColumn("g", F.lit("")), support).get("", (0, None, None))
-        found = {g: common if v[0] < LEAST or not v[1] else v for g, v in found.items()}
-    side = spark.createDataFrame([(g, c, f) for g, (_, c, f) in found.items()], "g string, c array<double>, f array<double>")
-    d2 = F.when(F.col("x0").isNotNull() & F.col("c").isNotNull(), F.round(_distance("c", "f"), 4))
-    out = join_checked(table, side, ["g"], "left").withColumn("d2", d2)
-    return out.withColumn("accepted", F.col("x0").isNotNull() & F.coalesce(F.col("d2") <= cutoff, F.lit(True))).select("doc_id", "lang", "source", *[f"x{k}" for k in range(P)], "d2", "accepted")
+        found = {g: common if v[0] < LEAST or v[1] is None else v for g, v in found.items()}
+    names = ["doc_id", "lang", "source", *(f"x{k}" for k in range(P)), "d2", "accepted"]
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.stack([b.column(3 + k).to_numpy(zero_copy_only=False) for k in range(P)], 1)
+            some = ~np.isnan(x[:, 0])
+            d2 = np.full(len(x), np.nan)
+            code = b.column(3 + P).dictionary_encode()
+            at = code.indices.to_numpy()
+            for k, g in enumerate(code.dictionary.to_pylist()):
+                _, centre, factor = found.get(g, (0, None, None))
+                own = some & (at == k)
+                if factor is not None and own.any():
+                    d2[own] = np.round(distances(x[own], centre, factor), 4)
+            ok = some & ~(d2 > cutoff)
+            yield pa.RecordBatch.from_arrays([*b.columns[: 3 + P], pa.array(d2, mask=np.isnan(d2)), pa.array(ok)], names)
+
+    schema = "doc_id long, lang string, source string, " + "".join(f"x{k} double, " for k in range(P)) + "d2 double, accepted boolean"
+    return table.mapInArrow(judge, schema)
