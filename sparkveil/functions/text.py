@@ -83,9 +83,10 @@ _STRICT = "^(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{2}(?:==)?|[A-Za-z0-9+/]{3}=?)?
 
 
 def decode_base64(text: Expr, alphabet: str = "default") -> Expr:
-    """Text of strict base64, null if it is none: no white space, padding right or left out."""
+    """Text of strict base64, null if it is none: no white space, padding right or left out. Bytes
+    that are no UTF-8 become U+FFFD."""
     source, target = ALPHABETS[alphabet]
     standard = F.translate(text, source, target)
     bare = F.regexp_replace(standard, "=+$", "")
     padded = F.rpad(bare, (F.ceil(F.length(bare) / 4) * 4).cast("int"), "=")
-    return F.when(standard.rlike(_STRICT), F.decode(F.try_to_binary(padded, F.lit("base64")), "UTF-8"))
+    return F.when(standard.rlike(_STRICT), F.make_valid_utf8(F.try_to_binary(padded, F.lit("base64")).cast("string")))

@@ -16,7 +16,7 @@ REPOSITORY = "text"
 BIDI, TAGS, SELECTORS = "S6389", "S7628", "S8522"
 CHECKS = {BIDI: "Bidirectional characters must be closed", TAGS: "Tag characters must not hide text", SELECTORS: "Variation selectors must not hide text"}
 
-_EMBED, _ISOLATE = "‪‫‭‮", "⁦⁧⁨"
+_EMBED, _ISOLATE = "\u202a\u202b\u202d\u202e", "\u2066\u2067\u2068"
 _GATE = "[\\u202A\\u202B\\u202D\\u202E\\u2066\\u2067\\u2068]"
 _TAG = r"[\x{E0020}-\x{E007F}]"
 _FLAG = r"\x{1F3F4}[\x{E0020}-\x{E007E}]*\x{E007F}?"
@@ -38,7 +38,7 @@ def unclosed(line: Expr) -> Expr:
             popped = F.when(F.size(s) > 0, F.slice(s, F.lit(1), F.greatest(F.size(s) - 1, F.lit(0)))).otherwise(s)
             return F.when(F.contains(F.lit(openers), x), F.concat(s, F.array(acc["i"]))).when(x == closer, popped).otherwise(s).alias(name)
 
-        return F.struct((acc["i"] + 1).alias("i"), stack("embed", _EMBED, "‬"), stack("isolate", _ISOLATE, "⁩"))
+        return F.struct((acc["i"] + 1).alias("i"), stack("embed", _EMBED, "\u202c"), stack("isolate", _ISOLATE, "\u2069"))
 
     last = lambda s: F.get(s, F.size(s) - 1)
     at = F.aggregate(F.split(line, ""), start, step, lambda acc: F.least(last(acc["embed"]), last(acc["isolate"])))

@@ -25,14 +25,14 @@ def from_folder(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder)
     base = F.lit(folder.removeprefix("file:").rstrip("/") + "/")
     path = F.regexp_replace("path", "^file:/*", "/")
-    own = raw.select(F.when(path.startswith(base), F.substring(path, F.length(base) + 1, F.length(path))).otherwise(path).alias("path"), F.decode("content", "UTF-8").alias("text"))
+    own = raw.select(F.when(path.startswith(base), F.substring(path, F.length(base) + 1, F.length(path))).otherwise(path).alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
     return describe(own.withColumn("doc_id", F.xxhash64("path")), F.col("text"))
 
 
-def describe(rows: DataFrame, text: Column, language: Column | None = None) -> DataFrame:
-    """Rows with doc_id and path as files; all are main files of the language given, by default none."""
+def describe(rows: DataFrame, text: Column, language: Column | None = None, file_type: Column | None = None) -> DataFrame:
+    """Rows with doc_id and path as files, of the language and type given, by default none and main."""
     own = rows.withColumn("language", language if language is not None else F.lit(None).cast("string"))
-    own = own.withColumns({"filename": F.substring_index("path", "/", -1), "file_type": F.lit("MAIN"), "is_hidden": hidden(F.col("path"))})
+    own = own.withColumns({"filename": F.substring_index("path", "/", -1), "file_type": file_type if file_type is not None else F.lit("MAIN"), "is_hidden": hidden(F.col("path"))})
     return with_content(own, text).select("doc_id", "path", "filename", "language", "file_type", "is_hidden", "content")
 
 
