@@ -1,7 +1,7 @@
 """Near-duplicate detection: SimHash fingerprints searched by the generalised pigeonhole principle.
 
 A document's features are its distinct lower-cased words, weighted by the square root of their
-number; 256 bits are the signs of the sum of the words' random vectors. Two documents are near
+number, in whole quarters; 256 bits are the signs of the sum of the words' random vectors. Two documents are near
 duplicates if their first 128 bits differ in at most ``threshold`` places and all 256 in at most
 ``check``. Groups are connected components; the smallest doc_id stays.
 
@@ -89,7 +89,7 @@ def fingerprints_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         for g in range(0, len(vocabulary), 8192):
             own = (at >= g) & (at < g + 8192)
             m = np.zeros((hi - lo, min(8192, len(vocabulary) - g)), np.float32)
-            m[doc[own], at[own] - g] = np.sqrt(n[own])
+            m[doc[own], at[own] - g] = np.rint(4 * np.sqrt(n[own]))  # whole numbers add up alike in any order
             v += m @ signs(vocabulary[g : g + 8192])
         bits[lo:hi] = np.packbits(v > 0, axis=1).view(np.int64)
         some[lo + np.unique(doc)] = True
