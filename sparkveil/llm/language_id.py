@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 from .common import buffer_of, clean_text, pieces
 
 DIMS = 1024
-#: Least cosine with the nearest prototype; with 1,024 dimensions chance gives 0.03 on average.
-MIN_COSINE = 0.1
+#: Least cosine with the nearest prototype: two standard deviations of chance with 1,024 dimensions, so that
+#: texts of one word can pass.
+MIN_COSINE = 0.06
 SLOTS = 128
 PIECE = 1_000_000
 
