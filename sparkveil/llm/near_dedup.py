@@ -214,22 +214,33 @@ def plan(nodes: DataFrame, threshold: int) -> list[tuple[np.ndarray, int]]:
     return best[1]
 
 
-def keys_of(bits: np.ndarray, partitions: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all rows one after the other, and the number of each row's: the partition's number above
-    its bits."""
-    columns, masks = [], []
+def keys_of(bits: np.ndarray, partitions: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of all rows one after the other, how each was made, and the number of each row's keys.
+
+    A key is the partition's number above its bits. It is made by 0 if the bits are the row's own, by the
+    flipped bit, counted from 1, for threshold 2, and by -1 if a bit was cleared for threshold 1. A pair
+    meets at many keys of a partition, at exactly one of which the first row's is made by 0 or by less
+    than the second's, either way round being tried once (``MEET``).
+    """
+    columns, made, masks = [], [], []
     for i, (part, t) in enumerate(partitions):
         value = 1 << np.arange(len(part), dtype=np.int64)
         own = bits[:, part].astype(np.int64)
         key = own @ value
-        top = np.int64(i) << np.int64(48)
+        top = np.int64(i) << np.int64(44)
         columns.append((key | top)[:, None])
+        made.append(np.zeros(1, np.int8))
         masks.append(np.ones((len(bits), 1), bool))
         if t:
             columns.append((key[:, None] ^ value[None, :]) | top)
+            made.append(np.full(len(part), -1, np.int8) if t == 1 else np.arange(1, len(part) + 1, dtype=np.int8))
             masks.append(own.astype(bool) if t == 1 else np.ones(own.shape, bool))
     keys, mask = np.concatenate(columns, 1), np.concatenate(masks, 1)
-    return keys[mask], mask.sum(1)
+    return keys[mask], np.broadcast_to(np.concatenate(made), mask.shape)[mask], mask.sum(1)
+
+
+#: Within a partition a pair counts once: both keys their rows' own, or the one way of two to meet halfway.
+MEET = "x.made = 0 or y.made > x.made"
 
 
 def pairs(nodes: DataFrame, threshold: int = THRESHOLD, check: int = CHECK) -> DataFrame:
@@ -240,14 +251,15 @@ def pairs(nodes: DataFrame, threshold: int = THRESHOLD, check: int = CHECK) -> D
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 b = whole.slice(at, 2000)
-                keys, n = keys_of(unpack(b), partitions)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(keys))
+                keys, made, n = keys_of(unpack(b), partitions)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(keys << np.int64(8) | (made + np.int64(1))))
                 yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(3)), lists], ["node", "f0", "f1", "keys"])
 
-    probes = nodes.select("node", "f0", "f1").mapInArrow(probe, "node long, f0 long, f1 long, keys array<long>").select("node", "f0", "f1", F.explode("keys").alias("key"))
+    probes = nodes.select("node", "f0", "f1").mapInArrow(probe, "node long, f0 long, f1 long, keys array<long>").select("node", "f0", "f1", F.explode("keys").alias("k"))
+    probes = probes.select("node", "f0", "f1", F.shiftright("k", 8).alias("key"), (F.col("k").bitwiseAND(255) - 1).cast("byte").alias("made"))
     x, y = probes.alias("x"), probes.alias("y")
     differ = lambda a, b, words: sum((F.bit_count(F.col(f"{a}.{w}").bitwiseXOR(F.col(f"{b}.{w}"))) for w in words), F.lit(0))
-    near = x.join(y.hint("merge"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (differ("x", "y", WORDS[:2]) <= threshold))
+    near = x.join(y.hint("merge"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & F.expr(MEET) & (differ("x", "y", WORDS[:2]) <= threshold))
     found = materialize(near.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "pairs")
     # the other 128 bits come by join, as the pairs are few beside the probes
     a, b = nodes.alias("na"), nodes.alias("nb")
