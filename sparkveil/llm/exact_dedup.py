@@ -3,8 +3,8 @@
 Every text has a 64-bit hash. Its leading bits address a directory that starts with one bucket;
 a bucket with more records than fit is split, and the directory doubles when the bucket already
 uses all its bits. Records (hash, doc_id) are written to the shared folder by the owner of their
-bucket, each owner having a contiguous range of keys. In the index, records with equal hashes
-chain; only their texts are read again, and texts of one chain are copies if their bytes are equal.
+bucket, each owner having a contiguous range of keys, which it sorts and marks where equal hashes chain.
+Only the texts of chained records are read again, and those of one chain are copies if their bytes are equal.
 Texts are never shuffled unless their hash repeats, and copies are combined on the map side.
 
 Defined cases: rows with null text or null doc_id are no copies of anything and stay; empty texts
@@ -15,7 +15,10 @@ empty table has no copies; extra columns pass through the filter untouched.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,8 +73,28 @@ def _hash(bits: int):
     return h if bits == 64 else F.shiftleft(h, 64 - bits)
 
 
+def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whether each record's hash equals that of the one before or after. The records come in order."""
+    held: tuple[pa.RecordBatch, np.ndarray, np.int64] | None = None
+    flagged = lambda b, flags: pa.RecordBatch.from_arrays([*b.columns, pa.array(flags)], [*b.schema.names, "chained"])
+    for b in batches:
+        if not b.num_rows:
+            continue
+        h = b.column(b.schema.get_field_index("h")).to_numpy()
+        flags = np.zeros(len(h), bool)
+        flags[1:] = h[1:] == h[:-1]
+        flags[:-1] |= h[1:] == h[:-1]
+        if held:
+            if held[2] == h[0]:
+                held[1][-1] = flags[0] = True
+            yield flagged(*held[:2])
+        held = b, flags, h[-1]
+    if held:
+        yield flagged(*held[:2])
+
+
 def build_index(docs: DataFrame, capacity: int = BUCKET_RECORDS, max_depth: int = MAX_DEPTH, hash_bits: int = 64) -> tuple[DataFrame, Directory]:
-    """The index's files (owner, bucket, h, doc_id), sorted by key for each owner, and its directory."""
+    """The index's files (owner, bucket, h, doc_id, chained), sorted by key for each owner, and its directory."""
     spark = docs.sparkSession
     records = materialize(docs.where("text is not null and doc_id is not null").select("doc_id", _hash(hash_bits).alias("h")), "records")
     counts = np.zeros(1 << max_depth, np.int64)
@@ -82,18 +105,19 @@ def build_index(docs: DataFrame, capacity: int = BUCKET_RECORDS, max_depth: int
     slot = F.shiftrightunsigned("h", 64 - directory.global_depth).cast("int") if directory.global_depth else F.lit(0)
     pick = lambda xs: F.element_at(F.array(*map(F.lit, xs)), slot + 1)
     index = records.select(pick(directory.owners(tasks)).alias("owner"), pick(directory.bucket_of_slot).alias("bucket"), "h", "doc_id")
-    return materialize(index.repartition(tasks, "owner").sortWithinPartitions("bucket", "h", "doc_id"), "index"), directory
+    owned = index.repartitionById(tasks, F.col("owner")).sortWithinPartitions("bucket", "h", "doc_id")
+    return materialize(owned.mapInArrow(_chained, "owner int, bucket int, h long, doc_id long, chained boolean"), "index"), directory
 
 
 def _found(docs: DataFrame, capacity: int, max_depth: int, hash_bits: int) -> DataFrame:
     docs = docs.select("doc_id", "text")
     index, _ = build_index(docs, capacity, max_depth, hash_bits)
-    chains = materialize(index.groupBy("h").count().where("count > 1").select("h"), "chains")
+    chains = materialize(index.where("chained").select("h").distinct(), "chains")
     texts = join_checked(docs.where("text is not null and doc_id is not null").withColumn("h", _hash(hash_bits)), chains, ["h"], "left_semi")
     groups = texts.groupBy("h", "text").agg(F.min("doc_id").alias("dup_of"), F.count("*").alias("copies"))
     # a chain with one text needs its bytes no more
     heads = materialize(groups.groupBy("h").agg(F.count("*").alias("texts"), F.min("dup_of").alias("dup_of"), F.sum("copies").alias("copies")), "heads")
-    plain = join_checked(index.select("h", "doc_id"), heads.where("texts = 1 and copies > 1").select("h", "dup_of", "copies"), ["h"], "inner")
+    plain = join_checked(index.where("chained").select("h", "doc_id"), heads.where("texts = 1 and copies > 1").select("h", "dup_of", "copies"), ["h"], "inner")
     out = plain.groupBy("doc_id", "dup_of", "copies", "h").agg(F.count("*").alias("rows"))
     collided = heads.where("texts > 1").select("h")
     if not collided.isEmpty():
