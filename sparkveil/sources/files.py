@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import fnmatch
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,10 +25,33 @@ def hidden(path: Column) -> Column:
     return path.rlike(r"(?:^|/)\.[^/]")
 
 
+def _unlisted(folder: str, glob: str) -> list[str]:
+    """Files that Spark's own reader passes over: those that are empty, or with a name on their path that begins
+    with a dot or underscore. Git's own are left out."""
+    system, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+    base = base.rstrip("/")
+    names = [(x.path, x.size, x.path[len(base) + 1 :].split("/")) for x in system.get_file_info(fs.FileSelector(base, recursive=True)) if x.type == fs.FileType.File]
+    prefix = folder[: -len(base)] if folder.rstrip("/").endswith(base) and "://" in folder else ""
+    return [prefix + p for p, size, way in names if (not size or any(n[0] in "._" for n in way)) and ".git" not in way and fnmatch.fnmatch(way[-1], glob)]
+
+
 def from_folder(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
-    """Every file under a folder as one row, its path relative to the folder. Executors read them."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder)
-    base = F.lit(folder.removeprefix("file:").rstrip("/") + "/")
+    """Every file under a folder as one row, its path relative to the folder. Executors read them, those that
+    Spark's reader passes over by their names."""
+    folder = folder.rstrip("/")
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder).select("path", "content")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path in b.column(0).to_pylist():
+                system, own = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+                with system.open_input_file(own) as f:
+                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([f.read()], pa.binary())], ["path", "content"])
+
+    if others := _unlisted(folder, glob):
+        named = spark.createDataFrame([(p,) for p in others], "path string").repartition(min(len(others), 1000))
+        raw = raw.unionByName(named.mapInArrow(read, "path string, content binary"))
+    base = F.lit(folder.removeprefix("file://").removeprefix("file:") + "/")
     path = F.regexp_replace("path", "^file:/*", "/")
     own = raw.select(F.when(path.startswith(base), F.substring(path, F.length(base) + 1, F.length(path))).otherwise(path).alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
     return describe(own.withColumn("doc_id", F.xxhash64("path")), F.col("text"))
