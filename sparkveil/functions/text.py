@@ -13,7 +13,8 @@ NON_TEXT = r"[\x01-\x07\x0E-\x1A\x1C-\x1F]"
 
 def normalize_newlines(text: Expr) -> Expr:
     """Line ends as \\n, without the last one."""
-    return F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), "\n\\z", "")
+    newlines = F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    return F.regexp_replace(newlines, "\n\\z", "")
 
 
 def lines(content: Expr) -> Expr:
