@@ -6,7 +6,8 @@ owns the records that start in its range and reads past the end of it to finish
 record's end it goes on to the next magic, so that a damaged member costs that record alone.
 
 Defined cases: a null url leaves its header out and comes back null; a null payload is marked as such and
-comes back null, an empty one empty; null page_id comes back null; line ends in a url are escaped;
+comes back null, an empty one empty; null page_id comes back null; line ends in a url and white space around
+it are escaped, and it may be of any length;
 repeated rows are records of their own; empty files and an empty table give no records; a payload larger
 than a split is read by its owner alone; magic bytes inside compressed data fail validation; damaged or
 cut members are left out; extra columns are not written.
@@ -20,6 +21,7 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -30,7 +32,6 @@ from .common import shared_dir
 SPLIT_BYTES = 4 << 20
 READ = 1 << 18
 MAGIC = b"\x1f\x8b\x08"
-MOST_HEADER = 1 << 16
 COLUMNS = "path string, at long, type string, record_id string, url string, payload string"
 
 
@@ -38,13 +39,20 @@ def open_fs(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
+def escaped(url: str) -> str:
+    """url without line ends and outer white space, which unquote() restores."""
+    inner = url.strip()
+    at = url.find(inner)
+    return quote(url[:at]) + inner.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A") + quote(url[at + len(inner) :])
+
+
 def record(page_id: int | None, url: str | None, html: str | None) -> bytes:
     """One WARC record."""
     block = (html or "").encode("utf-8", "surrogatepass")
     lines = [b"WARC/1.1", b"WARC-Type: resource", b"WARC-Date: 2020-01-01T00:00:00Z", b"Content-Type: text/html"]
     lines.append(b"WARC-Record-ID: <urn:uuid:%s>" % str(uuid.UUID(int=page_id & (1 << 64) - 1)).encode() if page_id is not None else b"WARC-Record-ID: <urn:none>")
     if url is not None:
-        safe = url.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A") if any(c in url for c in "\r\n") else url
+        safe = escaped(url) if url != url.strip() or any(c in url for c in "\r\n") else url
         lines.append(b"WARC-Target-URI: " + safe.encode("utf-8", "surrogatepass"))
         if safe is not url:
             lines.append(b"X-Escaped: 1")
@@ -106,7 +114,7 @@ def inflate(f, at: int) -> tuple[bytes, int] | None:
 
 def parse(data: bytes) -> tuple[dict[str, str], bytes] | None:
     """Headers by lower-case name and the block; None unless the length and any digest agree."""
-    end = data.find(b"\r\n\r\n", 0, MOST_HEADER)
+    end = data.find(b"\r\n\r\n")
     if end < 0:
         return None
     lines = data[:end].decode("utf-8", "replace").split("\r\n")
@@ -164,7 +172,7 @@ def read(spark: SparkSession, folder: str, split_bytes: int = SPLIT_BYTES) -> Da
                     for at, h, block in members(f, start, end):
                         url = h.get("warc-target-uri")
                         if url is not None and h.get("x-escaped"):
-                            url = url.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
+                            url = unquote(url, errors="surrogatepass")
                         rows.append((path, at, h.get("warc-type"), h.get("warc-record-id"), url, None if h.get("x-null") else block.decode("utf-8", "replace")))
                         size += len(block)
                         if size > 4_000_000:

@@ -54,3 +54,10 @@ def test_defined_cases(spark):
     assert out.columns == ["page_id", "url", "html"]
     assert sorted(map(key, out.collect())) == sorted(key(r[:3]) for r in rows)
     assert warc.round_trip(pages.limit(0)).count() == 0
+
+
+def test_urls_of_any_length_and_outer_white_space(spark):
+    urls = ["data:text/html," + "a%20" * 250_000, "  http://a/ ", "\thttp://b/%41\u00a0", " \u2003 ", "\n", "http://c/ \u00e9%\r", "%0A", "x%", "\x1f\u00e9"]
+    rows = [(i, u, f"<p>{i}</p>") for i, u in enumerate(urls)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert sorted(map(tuple, warc.round_trip(pages, 1000).collect())) == rows
