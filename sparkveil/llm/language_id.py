@@ -5,6 +5,13 @@ vectors, rotated by two, one and zero places so that order counts; a document's
 (sums) those of all its trigrams; a language's prototype bundles all documents declared to be in
 it. A document gets the language of the prototype with the largest cosine.
 
+How large the cosine must be depends on the document's length and on the language. With n trigrams drawn
+from distribution d, q the sum of their squared counts and p the prototype's counts, the cosine would be about
+n / sqrt(q) * (p . d) / norm(p), 1 at most: it grows with the text, but not by repetition. d is summed from
+square roots of each document's counts, so that a text of one repeated word doesn't decide what is expected of
+all others. A document is rejected below a share of the least that any language expects (where such a text
+bends a prototype, the language's others may be nearest to another), or if chance alone could give its cosine.
+
 Bundling is linear. Prototypes are therefore bundled from trigram counts that are summed over the
 corpus on the map side first: what is shuffled is (language, trigram, count), never text.
 
@@ -26,10 +33,12 @@ from pyspark.sql import functions as F
 
 from .common import buffer_of, clean_text, pieces
 
-DIMS = 1024
-#: Least cosine with the nearest prototype: two standard deviations of chance with 1,024 dimensions, so that
+DIMS = 4096
+#: Least cosine with the nearest prototype: almost four standard deviations of chance with 4,096 dimensions;
 #: texts of one word can pass.
 MIN_COSINE = 0.06
+#: Least share of the cosine that is expected of a text with as many trigrams.
+MIN_SHARE = 0.25
 SLOTS = 128
 PIECE = 1_000_000
 
@@ -71,62 +80,72 @@ def trigram_counts(texts: pa.Array, slots: np.ndarray) -> tuple[np.ndarray, np.n
     return keys >> 21, keys & 0x1FFFFF, counts
 
 
-def prototypes(docs: DataFrame, dims: int = DIMS) -> dict[str, np.ndarray]:
-    """The unit vector of each declared language, from all documents."""
+class Prototypes(dict):
+    """The unit vector of each language, and in slopes the cosine expected of a text of one trigram."""
+
+    slopes: dict[str, float] = {}
+
+
+def prototypes(docs: DataFrame, dims: int = DIMS) -> Prototypes:
+    """Those of each declared language, from all documents."""
     slots, letters = letter_slots(), letter_vectors(dims)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names: dict[str, int] = {}
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            keys, back = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            return keys, np.bincount(back, np.concatenate([n for _, n in held]), len(keys))
+        def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            keys, back = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
+            return keys, *(np.bincount(back, np.concatenate([x[k] for x in held]), len(keys)) for k in (1, 2))
 
         for batch in batches:
             texts = clean_text(batch.column(0), True)
             lang = np.array([names.setdefault(x, len(names)) for x in batch.column(1).to_pylist()], np.int64)
             for lo, hi in pieces(buffer_of(texts)[1], PIECE):
                 row, tri, n = trigram_counts(texts.slice(lo, hi - lo), slots)
-                held.append(((lang[lo:hi][row] << 21) | tri, n))
+                held.append(((lang[lo:hi][row] << 21) | tri, n, np.sqrt(n)))
                 if len(held) >= 32:
                     held[:] = [merged()]
         if held:
-            keys, n = merged()
+            keys, n, d = merged()
             by = list(names)
             for at in range(0, len(keys), 100_000):
                 k = keys[at : at + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array([by[i] for i in k >> 21], pa.string()), pa.array(k & 0x1FFFFF), pa.array(n[at : at + 100_000])], ["lang", "tri", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([by[i] for i in k >> 21], pa.string()), pa.array(k & 0x1FFFFF), pa.array(n[at : at + 100_000]), pa.array(d[at : at + 100_000])], ["lang", "tri", "n", "d"])
 
     def bundle(table: pa.Table) -> pa.Table:
-        tri, n = table["tri"].to_numpy(), table["n"].to_numpy()
+        tri, n, d = (table[k].to_numpy() for k in ("tri", "n", "d"))
         v = np.zeros(dims)
-        for at in range(0, len(tri), 4096):
-            v += n[at : at + 4096] @ trigram_vectors(tri[at : at + 4096], letters)
-        return pa.table([table["lang"].slice(0, 1), pa.array([v / max(np.linalg.norm(v), 1e-9)], pa.list_(pa.float64()))], ["lang", "v"])
+        for at in range(0, len(tri), 1024):
+            v += n[at : at + 1024] @ trigram_vectors(tri[at : at + 1024], letters)
+        return pa.table([table["lang"].slice(0, 1), pa.array([v / max(np.linalg.norm(v), 1e-9)], pa.list_(pa.float64())), pa.array([n @ d / np.linalg.norm(n) / d.sum()])], ["lang", "v", "slope"])
 
-    counts = docs.select("text", F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null").mapInArrow(count, "lang string, tri long, n double")
-    rows = counts.groupBy("lang", "tri").agg(F.sum("n").alias("n")).groupBy("lang").applyInArrow(bundle, "lang string, v array<double>").collect()
-    return {r["lang"]: np.array(r["v"]) for r in sorted(rows, key=lambda r: r["lang"])}
+    counts = docs.select("text", F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null").mapInArrow(count, "lang string, tri long, n double, d double")
+    rows = counts.groupBy("lang", "tri").agg(F.sum("n").alias("n"), F.sum("d").alias("d")).groupBy("lang").applyInArrow(bundle, "lang string, v array<double>, slope double").collect()
+    out = Prototypes({r["lang"]: np.array(r["v"]) for r in sorted(rows, key=lambda r: r["lang"])})
+    out.slopes = {r["lang"]: r["slope"] for r in rows}
+    return out
 
 
-def _judge(protos: dict[str, np.ndarray], dims: int, slots: np.ndarray, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Index of the nearest language (-1: none), its cosine and the lead over the second."""
+def _judge(protos: dict[str, np.ndarray], dims: int, slots: np.ndarray, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Index of the nearest language (-1: none), its cosine, the lead over the second and the cosine expected
+    of a text of its length (0 if the prototypes come without slopes)."""
     letters, p = letter_vectors(dims), np.array([*protos.values()], np.float32).reshape(-1, dims)
-    best, cosine, margin = np.full(len(texts), -1), np.zeros(len(texts)), np.zeros(len(texts))
+    best, cosine, margin, expected = np.full(len(texts), -1), *np.zeros((3, len(texts)))
     if not len(p):
-        return best, cosine, margin
+        return best, cosine, margin, expected
+    slope = min(getattr(protos, "slopes", {}).get(x, 0) for x in protos)
     for lo, hi in pieces(buffer_of(texts)[1], PIECE):
         row, tri, n = trigram_counts(texts.slice(lo, hi - lo), slots)
         if not len(row):
             continue
         grams, at = np.unique(tri, return_inverse=True)
         v = np.zeros((hi - lo, dims), np.float32)
-        for g in range(0, len(grams), 4096):
-            own = (at >= g) & (at < g + 4096)
-            m = np.zeros((hi - lo, min(4096, len(grams) - g)), np.float32)
+        for g in range(0, len(grams), 1024):
+            own = (at >= g) & (at < g + 1024)
+            m = np.zeros((hi - lo, min(1024, len(grams) - g)), np.float32)
             m[row[own], at[own] - g] = n[own]
-            v += m @ trigram_vectors(grams[g : g + 4096], letters).astype(np.float32)
+            v += m @ trigram_vectors(grams[g : g + 1024], letters).astype(np.float32)
         norm = np.linalg.norm(v, axis=1)
         c = (v @ p.T) / np.maximum(norm, 1e-9)[:, None]
         top = c.argmax(1)
@@ -134,7 +153,9 @@ def _judge(protos: dict[str, np.ndarray], dims: int, slots: np.ndarray, texts: p
         c[np.arange(hi - lo), top] = -1
         margin[lo:hi] = cosine[lo:hi] - c.max(1)
         best[lo:hi] = np.where(norm > 0, top, -1)
-    return best, cosine, margin
+        squares = np.bincount(row, n.astype(float) ** 2, hi - lo)
+        expected[lo:hi] = np.minimum(np.bincount(row, n, hi - lo) / np.sqrt(np.maximum(squares, 1)) * slope, 1)
+    return best, cosine, margin, expected
 
 
 def language_id(docs: DataFrame, protos: dict[str, np.ndarray] | None = None, dims: int = DIMS, min_cosine: float = MIN_COSINE) -> DataFrame:
@@ -144,8 +165,8 @@ def language_id(docs: DataFrame, protos: dict[str, np.ndarray] | None = None, di
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            best, cosine, margin = _judge(protos, dims, slots, clean_text(b.column(2), True))
-            ok = (best >= 0) & (cosine >= min_cosine)
+            best, cosine, margin, expected = _judge(protos, dims, slots, clean_text(b.column(2), True))
+            ok = (best >= 0) & (cosine >= np.maximum(min_cosine, MIN_SHARE * expected))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names[np.where(ok, best, -1)], pa.string()), pa.array(np.round(cosine, 6)), pa.array(np.round(margin, 6)), pa.array(ok)], ["doc_id", "lang", "predicted", "cosine", "margin", "accepted"])
 
     return docs.select("doc_id", F.col("lang").cast("string").alias("lang"), "text").mapInArrow(judge, "doc_id long, lang string, predicted string, cosine double, margin double, accepted boolean")
@@ -160,7 +181,7 @@ def keep_languages(docs: DataFrame, languages: list[str] | None = None, dims: in
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            best, cosine, _ = _judge(protos, dims, slots, clean_text(b.column(at), True))
-            yield b.filter(pa.array(wanted[best] & (cosine >= min_cosine)))
+            best, cosine, _, expected = _judge(protos, dims, slots, clean_text(b.column(at), True))
+            yield b.filter(pa.array(wanted[best] & (cosine >= np.maximum(min_cosine, MIN_SHARE * expected))))
 
     return docs.mapInArrow(judge, docs.schema)

@@ -1,5 +1,7 @@
 """Language ID: held-out accuracy, brute-force vectors, defined cases."""
 
+import random
+
 import numpy as np
 import pytest
 
@@ -68,3 +70,15 @@ def test_ties_go_to_the_first_language(spark):
     rows = [(1, "same text for both", "b"), (2, "same text for both", "a")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert {r["predicted"] for r in li.language_id(docs).collect()} == {"a"}
+
+
+def test_gibberish_and_other_languages_are_rejected(spark):
+    r = random.Random(4)
+    scripts = ["abcdefghijklmnopqrstuvwxyz", "αβγδεζηθικλμνξοπρστυφχψω", "абвгдежзийклмнопрстуфхцчшщъыьэюя", *("".join(map(chr, range(a, a + 150))) for a in (0x4E00, 0xAC00))]
+    rows = [(i, " ".join("".join(r.choice(s) for _ in range(r.randint(2, 9))) for _ in range(n)), None) for i, (s, n) in enumerate((s, n) for s in scripts for n in (30, 300) for _ in range(40))]
+    rows += [(1000, "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw", None), (1001, "Tất cả mọi người sinh ra đều được tự do và bình đẳng về nhân phẩm và quyền", None)]
+    train = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = li.language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string"), li.prototypes(train))
+    assert found.where("accepted").count() <= 0.01 * len(rows)
+    short = train.where("text rlike '[a-z]{3}'").selectExpr("doc_id", "array_join(slice(split(text, ' '), 1, 3), ' ') as text", "lang").where("text rlike '[a-z]{3}'")
+    assert li.language_id(short, li.prototypes(train)).where("accepted").count() >= 0.95 * short.count()
