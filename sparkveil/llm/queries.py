@@ -50,7 +50,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), alike=near_dedup.ALIKE)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -104,3 +104,28 @@ def test_defined_cases(spark):
     assert ids == [1, 1, 3, 4, 5, 6, 7, None]
     assert nd.near_duplicates(docs.limit(0)).count() == 0
     assert nd.drop_near_duplicates(docs.limit(0)).count() == 0
+
+
+def jaccard(a, b):
+    a, b = ({tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in (a.split(), b.split()))
+    return len(a & b) / max(1, len(a | b))
+
+
+def test_short_near_copies_are_found_by_similarity(spark):
+    r, rows = random.Random(6), []
+    for i in range(300):
+        n = r.choice([12, 25, 40, 80, 150, 1500])
+        a = text(r, n).split()
+        b, at, k = list(a), r.randrange(n * 3 // 4), max(1, n // r.choice([5, 6, 8, 12]))
+        b[at : at + k] = text(r, min(k, n - at)).split()
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    near = {i for i in range(300) if jaccard(rows[2 * i][1], rows[2 * i + 1][1]) >= 0.5}
+    short = {i for i in near if len(rows[2 * i][1].split()) < 100}
+    found = {x["doc_id"]: x["dup_of"] for x in nd.near_duplicates(docs, alike=nd.ALIKE).collect()}
+    assert len(short) > 80
+    assert sum(found.get(2 * i + 1) == 2 * i for i in near) >= 0.98 * len(near)
+    assert sum(found.get(2 * i + 1) == 2 * i for i in short) >= 0.98 * len(short)
+    assert all(x // 2 == y // 2 for x, y in found.items())
+    kept = {x["doc_id"] for x in nd.drop_near_duplicates(docs).collect()}
+    assert kept == {x for x, _ in rows} - set(found)
