@@ -8,11 +8,12 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a side of one or two narrow columns is broadcast; larger sides are shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Places of the filter that keeps rows without a partner out of a join. Its table has at most
+#: FILTER_BITS / 32768 rows of 4 KiB, so 16 MiB, whatever the number of keys.
+FILTER_BITS = 1 << 27
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -38,19 +39,67 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether df has at most so many rows; looks at no more than that."""
-    return df.limit(rows + 1).count() <= rows
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialize() wrote and that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for file in df.inputFiles()[:1]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def join_checked(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
-    """Join with a narrow right side: broadcast if it is small when counted, else shuffled."""
-    return left.join(F.broadcast(right) if is_small(right) else right, on, how)
+def heavy(df: DataFrame, key: str, parts: int = 1000) -> list:
+    """The values of a column that more than one in ``parts`` of all rows have, so fewer than ``parts`` values."""
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).count()
+    least = df.count() // parts
+    return [r[key] for r in counts.where(F.col("count") > least).select(key).collect()]
 
 
-def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is in the doc_id column of ids. Null ids stay."""
-    return join_checked(docs, ids.select("doc_id").distinct(), ["doc_id"], "left_anti").select(*[docs[c] for c in docs.columns])
+def _may_match(left: DataFrame, on: list[Column], right: DataFrame) -> tuple[DataFrame, str]:
+    """left with a boolean column, whose name is returned: false for rows that have no partner in right."""
+    tag = uuid.uuid4().hex[:8]
+    place = lambda cols: F.pmod(F.xxhash64(*cols), F.lit(FILTER_BITS))
+    bucket, bits = f"bucket_{tag}", f"bits_{tag}"
+    keys = right.select(place([right[c] for c in right.columns]).alias("p")).select(F.shiftright("p", 15).alias(bucket), F.col("p").bitwiseAND(32767).alias("bit"))
+    table = materialize(keys.repartition(bucket).groupBy(bucket).agg(F.bitmap_construct_agg("bit").alias(bits)), "filter")
+    found = left.withColumns({f"place_{tag}": place(on)}).withColumns({bucket: F.shiftright(f"place_{tag}", 15)}).join(F.broadcast(table), bucket, "left")
+    byte = F.conv(F.hex(F.expr(f"substring({bits}, int(shiftright(place_{tag} & 32767, 3)) + 1, 1)")), 16, 10).cast("int")
+    hit = F.expr(f"int(place_{tag} & 7)")
+    may = F.coalesce(F.call_function("shiftright", byte, hit).bitwiseAND(1) == 1, F.lit(False))
+    for c in on:
+        may = may & c.isNotNull()
+    return found.select(*[left[c] for c in left.columns], may.alias(f"may_{tag}")), f"may_{tag}"
+
+
+def matching(left: DataFrame, on: list[Column], right: DataFrame) -> DataFrame:
+    """The rows of left whose keys (columns of left) are among the rows of right, of as many columns.
+
+    Rows that can't match are left out before the shuffle by a filter of fixed size over right's keys, so
+    that it is the same plan at every size; right is read twice and should be a table.
+    """
+    marked, may = _may_match(left, on, right)
+    names = [f"{may}_{k}" for k in range(len(on))]
+    keyed = marked.where(may).withColumns(dict(zip(names, on)))
+    return keyed.join(right.toDF(*names), names, "left_semi").select(*left.columns)
+
+
+def without(left: DataFrame, on: list[Column], right: DataFrame) -> DataFrame:
+    """The rows of left whose keys are not among the rows of right; null keys stay. As matching(), but rows that
+    can't match are not moved at all."""
+    marked, may = _may_match(left, on, right)
+    names = [f"{may}_{k}" for k in range(len(on))]
+    keyed = marked.where(may).withColumns(dict(zip(names, on)))
+    rest = keyed.join(right.toDF(*names), names, "left_anti").select(*left.columns)
+    return marked.where(~F.col(may)).select(*left.columns).unionByName(rest)
+
+
+def join_unique(many: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    """Inner join on a column that is (but for collisions of a hash) unique in few. Values that more than a thousandth of
+    many have are joined by broadcast: they are fewer than a thousand."""
+    hot = heavy(many, key)
+    is_hot = F.col(key).isin(hot) if hot else F.lit(False)
+    out = many.where(~is_hot).join(few.where(~is_hot), key)
+    return out.unionByName(many.where(is_hot).join(F.broadcast(few.where(is_hot)), key)) if hot else out
 
 
 def clean_text(column: pa.Array, lower: bool = False) -> pa.Array:

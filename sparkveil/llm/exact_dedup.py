@@ -1,16 +1,24 @@
 """Exact deduplication with an extendible-hash index on shared files.
 
-Every text has a 64-bit hash. Its leading bits address a directory that starts with one bucket;
-a bucket with more records than fit is split, and the directory doubles when the bucket already
-uses all its bits. Records (hash, doc_id) are written to the shared folder by the owner of their
-bucket, each owner having a contiguous range of keys, which it sorts and marks where equal hashes chain.
-Only the texts of chained records are read again, and those of one chain are copies if their bytes are equal.
-Texts are never shuffled unless their hash repeats, and copies are combined on the map side.
+Every text has a 64-bit hash, and equal hashes are counted before anything else, so that the index has one
+record (hash, smallest doc_id, rows) for each. Leading bits of the hash address a directory that starts with
+one bucket; a bucket with more than ``BUCKET_RECORDS`` records is split, and the directory doubles when the
+bucket already uses all its bits. Records are written to the shared folder by the owner of their bucket, each
+owner having a contiguous range of keys, which it sorts.
+
+Where a hash has several rows, their texts are read again and go to the same owners, having been combined
+by (hash, text) in ``SALTS`` salted groups: of any number of copies that many rows reach the owner. The owner
+goes through its range in order, chains the rows of a hash and compares their bytes; each distinct text of
+a chain is a group of copies.
+
+Rows are moved only if they repeat: a filter of fixed size over the repeated hashes goes before each join
+with texts (``common.matching``), and the groups that are more than a thousandth of all rows, fewer than a
+thousand of them, are joined by broadcast, so that no task gets all copies of one text.
 
 Defined cases: rows with null text or null doc_id are no copies of anything and stay; empty texts
 are copies of each other; of a group the smallest doc_id stays; a row repeated with the same
-doc_id and text is a copy of itself, reported as (doc_id, doc_id), of which one row stays; an
-empty table has no copies; extra columns pass through the filter untouched.
+doc_id and text is a copy of itself, reported as (doc_id, doc_id), of which one row stays; a very long text is
+hashed and compared whole; an empty table has no copies; extra columns pass through the filter untouched.
 """
 
 from __future__ import annotations
@@ -22,10 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_small, join_checked, materialize
+from .common import join_unique, matching, materialize, without
 
-BUCKET_RECORDS = 1_000_000
-MAX_DEPTH = 12
+BUCKET_RECORDS = 10_000
+#: Leading bits that the directory uses at most, so that it has at most 65,536 entries; a bucket of all these
+#: bits keeps an overflow chain in its owner's sorted file.
+MAX_DEPTH = 16
+#: Groups in which copies of a text are combined before they go to its owner.
+SALTS = 16
 
 
 class Directory:
@@ -73,58 +85,85 @@ def _hash(bits: int):
     return h if bits == 64 else F.shiftleft(h, 64 - bits)
 
 
-def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whether each record's hash equals that of the one before or after. The records come in order."""
-    held: tuple[pa.RecordBatch, np.ndarray, np.int64] | None = None
-    flagged = lambda b, flags: pa.RecordBatch.from_arrays([*b.columns, pa.array(flags)], [*b.schema.names, "chained"])
-    for b in batches:
-        if not b.num_rows:
-            continue
-        h = b.column(b.schema.get_field_index("h")).to_numpy()
-        flags = np.zeros(len(h), bool)
-        flags[1:] = h[1:] == h[:-1]
-        flags[:-1] |= h[1:] == h[:-1]
-        if held:
-            if held[2] == h[0]:
-                held[1][-1] = flags[0] = True
-            yield flagged(*held[:2])
-        held = b, flags, h[-1]
-    if held:
-        yield flagged(*held[:2])
-
-
 def build_index(docs: DataFrame, capacity: int = BUCKET_RECORDS, max_depth: int = MAX_DEPTH, hash_bits: int = 64) -> tuple[DataFrame, Directory]:
-    """The index's files (owner, bucket, h, doc_id, chained), sorted by key for each owner, and its directory."""
+    """The index's files (owner, bucket, h, doc_id, rows), sorted by key for each owner, and its directory."""
     spark = docs.sparkSession
-    records = materialize(docs.where("text is not null and doc_id is not null").select("doc_id", _hash(hash_bits).alias("h")), "records")
-    counts = np.zeros(1 << max_depth, np.int64)
-    for r in records.groupBy(F.shiftrightunsigned("h", 64 - max_depth).alias("slot")).count().collect():  # at most 2 ** max_depth
+    own = docs.where("text is not null and doc_id is not null").select("doc_id", _hash(hash_bits).alias("h"))
+    records = materialize(own.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows")), "records")
+    # some bits more than buckets of even size would need, as sizes are uneven
+    depth = min(max_depth, max(1, records.count() // capacity).bit_length() + 3)
+    counts = np.zeros(1 << depth, np.int64)
+    for r in records.groupBy(F.shiftrightunsigned("h", 64 - depth).alias("slot")).count().collect():  # at most 2 ** depth
         counts[r["slot"]] = r["count"]
-    directory = Directory(counts, capacity, max_depth)
+    directory = Directory(counts, capacity, depth)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    index = owned(records, directory, tasks).sortWithinPartitions("bucket", "h")
+    return materialize(index, "index"), directory
+
+
+def owned(rows: DataFrame, directory: Directory, tasks: int) -> DataFrame:
+    """Rows with a hash h, at the partition of their owner, with the numbers of owner and bucket."""
+    slots = range(len(directory.pointers))  # 2 ** MAX_DEPTH at most
+    table = rows.sparkSession.createDataFrame([*zip(slots, directory.owners(tasks), directory.bucket_of_slot)], "slot int, owner int, bucket int")
     slot = F.shiftrightunsigned("h", 64 - directory.global_depth).cast("int") if directory.global_depth else F.lit(0)
-    pick = lambda xs: F.element_at(F.array(*map(F.lit, xs)), slot + 1)
-    index = records.select(pick(directory.owners(tasks)).alias("owner"), pick(directory.bucket_of_slot).alias("bucket"), "h", "doc_id")
-    owned = index.repartitionById(tasks, F.col("owner")).sortWithinPartitions("bucket", "h", "doc_id")
-    return materialize(owned.mapInArrow(_chained, "owner int, bucket int, h long, doc_id long, chained boolean"), "index"), directory
+    found = rows.withColumn("slot", slot).join(F.broadcast(table), "slot").drop("slot")
+    return found.select("owner", "bucket", *rows.columns).repartitionById(tasks, F.col("owner"))
+
+
+def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (h, text, doc_id, rows) in the order of h -> (h, text_number, dup_of, copies): of the chain of a hash,
+    the distinct texts by comparison of bytes, numbered in the order of their smallest doc_id."""
+    out: list[tuple[int, int, int, int]] = []
+    chain: dict[bytes, list[int]] = {}
+    last = None
+
+    def end() -> None:
+        out.extend((last, k, d, n) for k, (d, n) in enumerate(sorted(chain.values())))
+        chain.clear()
+
+    def rows() -> pa.RecordBatch:
+        columns = [pa.array(c, pa.int64()) for c in zip(*out)] if out else [pa.array([], pa.int64())] * 4
+        out.clear()
+        return pa.RecordBatch.from_arrays(columns, ["h", "text_number", "dup_of", "copies"])
+
+    for b in batches:
+        texts = b.column(1).cast(pa.binary())
+        for h, text, d, n in zip(b.column(0).to_pylist(), texts.to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
+            if h != last:
+                end()
+                last = h
+            group = chain.setdefault(text, [d, 0])  # a dictionary's equality is that of all bytes
+            group[0] = min(group[0], d)
+            group[1] += n
+        yield rows()
+    end()
+    yield rows()
 
 
 def _found(docs: DataFrame, capacity: int, max_depth: int, hash_bits: int) -> DataFrame:
-    docs = docs.select("doc_id", "text")
-    index, _ = build_index(docs, capacity, max_depth, hash_bits)
-    chains = materialize(index.where("chained").select("h").distinct(), "chains")
-    texts = join_checked(docs.where("text is not null and doc_id is not null").withColumn("h", _hash(hash_bits)), chains, ["h"], "left_semi")
-    groups = texts.groupBy("h", "text").agg(F.min("doc_id").alias("dup_of"), F.count("*").alias("copies"))
-    # a chain with one text needs its bytes no more
-    heads = materialize(groups.groupBy("h").agg(F.count("*").alias("texts"), F.min("dup_of").alias("dup_of"), F.sum("copies").alias("copies")), "heads")
-    plain = join_checked(index.where("chained").select("h", "doc_id"), heads.where("texts = 1 and copies > 1").select("h", "dup_of", "copies"), ["h"], "inner")
-    out = plain.groupBy("doc_id", "dup_of", "copies", "h").agg(F.count("*").alias("rows"))
-    collided = heads.where("texts > 1").select("h")
-    if not collided.isEmpty():
-        own = join_checked(docs.where("text is not null and doc_id is not null").withColumn("h", _hash(hash_bits)), collided, ["h"], "left_semi")
-        keys = own.groupBy("h", "text").agg(F.min("doc_id").alias("dup_of"), F.count("*").alias("copies")).where("copies > 1")
-        out = out.unionByName(own.join(keys, ["h", "text"]).groupBy("doc_id", "dup_of", "copies", F.xxhash64("text").alias("h")).agg(F.count("*").alias("rows")))
-    return out.where("doc_id <> dup_of or rows > 1").select("doc_id", "dup_of", "copies", "h")
+    """(doc_id, dup_of, copies, h) of rows that have copies, once for each doc_id and text."""
+    docs = docs.select("doc_id", "text").where("text is not null and doc_id is not null")
+    index, directory = build_index(docs, capacity, max_depth, hash_bits)
+    chains = materialize(index.where("rows > 1").select("h"), "chains")
+    texts = matching(docs.withColumn("h", _hash(hash_bits)), [F.col("h")], chains)
+    salted = texts.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    combined = salted.groupBy("h", "text", "salt").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows")).select("h", "text", "doc_id", "rows")
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at_owner = owned(combined, directory, tasks).sortWithinPartitions("bucket", "h").select("h", "text", "doc_id", "rows")
+    groups = materialize(at_owner.mapInArrow(compare, "h long, text_number long, dup_of long, copies long"), "groups")
+    # a chain with one text needs its bytes no more: hash and doc_id say which rows are its copies
+    several = materialize(groups.where("text_number > 0").select("h").distinct(), "collided")
+    heads = groups.where("copies > 1").join(several, "h", "left_anti").select("h", "dup_of", "copies")
+    rows = matching(docs.select("doc_id", _hash(hash_bits).alias("h")), [F.col("h")], chains)
+    rows = materialize(rows.groupBy("doc_id", "h").agg(F.count("*").alias("n")), "rows")
+    plain = join_unique(rows, heads, "h")
+    out = plain.select("doc_id", "dup_of", "copies", F.col("h").alias("h"), "n")
+    if not several.isEmpty():
+        own = matching(docs.withColumn("h", _hash(hash_bits)), [F.col("h")], several).groupBy("h", "text", "doc_id").agg(F.count("*").alias("n"))
+        keys = own.groupBy("h", "text").agg(F.min("doc_id").alias("dup_of"), F.sum("n").alias("copies")).where("copies > 1")
+        both = own.join(keys, ["h", "text"])
+        out = out.unionByName(both.select("doc_id", "dup_of", "copies", F.xxhash64("text").alias("h"), "n"))
+    return out.where("doc_id <> dup_of or n > 1").select("doc_id", "dup_of", "copies", "h")
 
 
 def duplicates(docs: DataFrame, capacity: int = BUCKET_RECORDS, max_depth: int = MAX_DEPTH, hash_bits: int = 64) -> DataFrame:
@@ -136,14 +175,9 @@ def duplicates(docs: DataFrame, capacity: int = BUCKET_RECORDS, max_depth: int =
 def drop_duplicates(docs: DataFrame, capacity: int = BUCKET_RECORDS, max_depth: int = MAX_DEPTH) -> DataFrame:
     """docs with one row of each group of equal texts."""
     found = materialize(_found(docs, capacity, max_depth, 64), "copies")
-
-    def side(kind: str, rows: DataFrame, left: DataFrame) -> DataFrame:
-        rows = rows.select(F.col("doc_id").alias("_dup_id"), F.col("h").alias("_dup_h"))
-        match = (left["doc_id"] == rows["_dup_id"]) & (F.xxhash64(left["text"]) == rows["_dup_h"])
-        return left.join(F.broadcast(rows) if is_small(rows) else rows, match, kind)
-
-    kept = side("left_anti", found.where("doc_id <> dup_of"), docs)
-    again = found.where("doc_id = dup_of")
+    on = [docs["doc_id"].cast("long"), F.xxhash64(docs["text"])]
+    kept = without(docs, on, found.where("doc_id <> dup_of").select("doc_id", "h"))
+    again = materialize(found.where("doc_id = dup_of").select("doc_id", "h"), "again")
     if again.isEmpty():
         return kept
-    return side("left_anti", again, kept).unionByName(side("left_semi", again, kept).dropDuplicates(["doc_id", "text"]))
+    return without(kept, on, again).unionByName(matching(kept, on, again).dropDuplicates(["doc_id", "text"]))

@@ -70,3 +70,19 @@ def test_defined_cases(spark):
     found = {(r["doc_id"], r["dup_of"], r["copies"]) for r in ed.duplicates(docs).collect()}
     assert found == {(1, 1, 3), (2, 1, 3), (6, 5, 2), (8, 7, 2), (9, 1, 2)}
     assert ed.duplicates(docs.limit(0)).count() == 0 and ed.drop_duplicates(docs.limit(0)).count() == 0
+
+
+def test_directory_doubles_and_owners_share(spark):
+    docs = spark.createDataFrame([(i, f"text {i % 300}") for i in range(1000)], "doc_id long, text string")
+    index, directory = ed.build_index(docs, capacity=20)
+    assert directory.doublings > 3 and len(directory.buckets) >= 15 and max(directory.records) <= 20
+    rows = index.collect()
+    assert len({r["owner"] for r in rows}) == 4 and len(rows) == 300 and sum(r["rows"] for r in rows) == 1000
+    for a, b in ((a, b) for a in rows for b in rows if a["owner"] < b["owner"]):
+        assert a["h"] % (1 << 64) < b["h"] % (1 << 64)
+
+
+def test_a_hot_text_is_split(spark):
+    rows = [(i, "hot" if i % 3 == 0 else f"text {i}") for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    assert {r["doc_id"]: (r["dup_of"], r["copies"]) for r in ed.duplicates(docs).collect()} == brute(rows)
