@@ -17,24 +17,31 @@ bits); for t = 2 all keys within one bit (pairs meet halfway). Every candidate i
 
 The fingerprints of short texts move far by a few words. Pairs whose sets of 3-word shingles have a Jaccard
 similarity of ``alike`` are therefore near duplicates too, at any length. Candidates meet in one of 32 bands
-of three MinHash values (at 0.5, 98.6 % of pairs do, at 0.6, 99.9 %) and are verified on their texts' shingles:
-on all if both have at most 1,024, else on the least hashes of each. Their distance can be above ``threshold``.
+of three MinHash values (at 0.5, 98.6 % of pairs do, at 0.6, 99.9 %), are left out if their numbers of shingles
+alone exclude the similarity, and are verified on 32 bits of their shingles' hashes: on all if both texts have
+at most 1,024, else on the least hashes of each. Their distance can be above ``threshold``.
+
+Texts with equal fingerprints and equal sets of shingles are one class: candidates, links and groups are found
+between classes, and documents join their class at the end.
 
 Defined cases: rows with null doc_id or text, and texts without words, are like nothing and stay;
-rows that repeat a doc_id are one document if their fingerprint is equal; an empty table has no
-groups; extra columns pass through the filter untouched.
+rows that repeat a doc_id are one document if their class is equal, else each is judged by its own text;
+texts of fewer than three words have no shingles; a very long text is read whole, in blocks; of equal
+distances and candidates none is preferred, all count; an empty table has no groups; extra columns pass
+through the filter untouched.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffer_of, clean_text, is_small, join_checked, materialize, mix64, pieces, without_ids
+from .common import buffer_of, clean_text, discard, join_unique, matching, materialize, mix64, pieces, without
 
 THRESHOLD = 17
 CHECK = 44
@@ -42,7 +49,8 @@ BITS = 128
 #: Least Jaccard similarity of shingles.
 ALIKE = 0.5
 SHINGLE, BANDS, BAND_ROWS, SKETCH = 3, 32, 3, 1024
-PIECE = 400_000
+#: Bytes of text, and rows, that are worked on at once.
+PIECE, ROWS = 400_000, 2000
 #: Cost of a candidate pair in rows of keys written, sorted and joined.
 PAIR_COST = 0.1
 PARTITIONS = range(3, 11)
@@ -51,23 +59,82 @@ _CHAR = np.zeros(256, np.uint8)  # bytes of words: letters, digits and all of ot
 _CHAR[[*range(48, 58), *range(97, 123), *range(128, 256)]] = 1
 
 
-def words_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and 64-bit hash of each word of lower-cased bytes."""
+_BASE = 0x9E3779B97F4A7C15
+
+
+@lru_cache(4)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    out = []
+    with np.errstate(over="ignore"):
+        for x in (_BASE, pow(_BASE, -1, 1 << 64)):
+            p = np.full(n, x, np.uint64)
+            p[0] = 1
+            out.append(np.cumprod(p))
+    return out[0], out[1]
+
+
+def _raw_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and polynomial of each word of bytes."""
     inside = np.zeros(len(data) + 2, np.int8)
     inside[1:-1] = _CHAR[data]
     edge = np.diff(inside)
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    base = np.uint64(0x9E3779B97F4A7C15)
+    power, inverse = _powers(1 << len(data).bit_length())
     with np.errstate(over="ignore"):
-        power = np.full(len(data) + 1, base, np.uint64)
-        power[0] = 1
-        power = np.cumprod(power)
-        inverse = np.full(len(data) + 1, pow(int(base), -1, 1 << 64), np.uint64)
-        inverse[0] = 1
-        inverse = np.cumprod(inverse)
         total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:-1], out=total[1:])
-        return start, end, mix64((total[end] - total[start]) * inverse[start])
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=total[1:])
+        return start, end, (total[end] - total[start]) * inverse[start]
+
+
+def words_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and 64-bit hash of each word of lower-cased bytes."""
+    start, end, raw = _raw_words(data)
+    with np.errstate(over="ignore"):
+        return start, end, mix64(raw)
+
+
+def long_words(data: np.ndarray, block: int = PIECE) -> np.ndarray:
+    """The hashes of words_of(), of bytes of any number read block by block; words may cross blocks."""
+    out, held, size = [], 0, 0  # the polynomial and length of a word so far
+    most = (1 << 64) - 1
+    for at in range(0, len(data), block):
+        own = data[at : at + block]
+        start, end, raw = _raw_words(own)
+        raw = raw.copy()
+        if size:
+            if len(start) and start[0] == 0:
+                raw[0] = (held + int(raw[0]) * pow(_BASE, size, 1 << 64)) & most
+                size += int(end[0])
+            else:
+                out.append(np.array([held], np.uint64))
+                size = 0
+        if len(end) and end[-1] == len(own):
+            held, size = int(raw[-1]), size if len(end) == 1 and start[0] == 0 and size else int(end[-1] - start[-1])
+            raw = raw[:-1]
+        else:
+            size = 0
+        out.append(raw)
+    if size:
+        out.append(np.array([held], np.uint64))
+    with np.errstate(over="ignore"):
+        return mix64(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+
+
+def words_by_row(texts: pa.Array, most: int = PIECE, rows: int = ROWS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(lo, hi, row from lo, hash) of the words in ranges of lower-cased texts of about so many bytes and rows."""
+    for start, stop in pieces(buffer_of(texts)[1], most):
+        for lo in range(start, stop, rows):
+            hi = min(stop, lo + rows)
+            data, off = buffer_of(texts.slice(lo, hi - lo))
+            if hi - lo == 1:
+                h = long_words(data, most)
+                yield lo, hi, np.zeros(len(h), np.int64), h
+                continue
+            # a separator after each text, so that no word crosses into the next
+            spaced = np.full(len(data) + hi - lo, 32, np.uint8)
+            spaced[np.arange(len(data)) + np.repeat(np.arange(hi - lo), np.diff(off))] = data
+            at, _, h = words_of(spaced)
+            yield lo, hi, np.searchsorted(off + np.arange(len(off)), at, "right") - 1, h
 
 
 def signs(h: np.ndarray) -> np.ndarray:
@@ -77,15 +144,10 @@ def signs(h: np.ndarray) -> np.ndarray:
     return np.unpackbits(w.view(np.uint8), axis=1).astype(np.float32) * 2 - 1
 
 
-def shingles_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of the distinct shingles of lower-cased texts, ordered by both. Texts of fewer words have none."""
-    data, off = buffer_of(texts)
-    spaced = np.full(len(data) + len(texts), 32, np.uint8)
-    spaced[np.arange(len(data)) + np.repeat(np.arange(len(texts)), np.diff(off))] = data
-    start, _, h = words_of(spaced)
+def shingles_of(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of the distinct shingles of words (row, hash), ordered by both. Texts of fewer words have none."""
     if len(h) < SHINGLE:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    doc = np.searchsorted(off + np.arange(len(off)), start, "right") - 1
     with np.errstate(over="ignore"):
         s = mix64((h[:-2] * np.uint64(0x9E3779B97F4A7C15) + h[1:-1]) * np.uint64(0xC2B2AE3D27D4EB4F) + h[2:]).view(np.int64)
     inside = doc[2:] == doc[:-2]
@@ -111,29 +173,25 @@ def bands_of(row: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows, keys.view(np.int64)
 
 
+def vectors_of(doc: np.ndarray, h: np.ndarray, rows: int) -> np.ndarray:
+    """The fingerprints of so many rows from their words (row, hash): four 64-bit words each."""
+    vocabulary, at = np.unique(h, return_inverse=True)
+    key, n = np.unique(doc * max(1, len(vocabulary)) + at, return_counts=True)
+    doc, at = key // max(1, len(vocabulary)), key % max(1, len(vocabulary))
+    v = np.zeros((rows, 256), np.float32)
+    for g in range(0, len(vocabulary), 8192):
+        own = (at >= g) & (at < g + 8192)
+        m = np.zeros((rows, min(8192, len(vocabulary) - g)), np.float32)
+        m[doc[own], at[own] - g] = np.rint(4 * np.sqrt(n[own]))  # whole numbers add up alike in any order
+        v += m @ signs(vocabulary[g : g + 8192])
+    return np.packbits(v > 0, axis=1).view(np.int64)
+
+
 def fingerprints_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Four 64-bit words for each lower-cased text, and whether it has any words."""
     bits, some = np.zeros((len(texts), 4), np.int64), np.zeros(len(texts), bool)
-    _, offsets = buffer_of(texts)
-    for lo, hi in pieces(offsets, PIECE):
-        data, off = buffer_of(texts.slice(lo, hi - lo))
-        # a separator after each text, so that no word crosses into the next
-        spaced = np.full(len(data) + hi - lo, 32, np.uint8)
-        spaced[np.arange(len(data)) + np.repeat(np.arange(hi - lo), np.diff(off))] = data
-        start, _, h = words_of(spaced)
-        if not len(start):
-            continue
-        doc = np.searchsorted(off + np.arange(len(off)), start, "right") - 1
-        vocabulary, at = np.unique(h, return_inverse=True)
-        key, n = np.unique(doc * len(vocabulary) + at, return_counts=True)
-        doc, at = key // len(vocabulary), key % len(vocabulary)
-        v = np.zeros((hi - lo, 256), np.float32)
-        for g in range(0, len(vocabulary), 8192):
-            own = (at >= g) & (at < g + 8192)
-            m = np.zeros((hi - lo, min(8192, len(vocabulary) - g)), np.float32)
-            m[doc[own], at[own] - g] = np.rint(4 * np.sqrt(n[own]))  # whole numbers add up alike in any order
-            v += m @ signs(vocabulary[g : g + 8192])
-        bits[lo:hi] = np.packbits(v > 0, axis=1).view(np.int64)
+    for lo, hi, doc, h in words_by_row(texts):
+        bits[lo:hi] = vectors_of(doc, h, hi - lo)
         some[lo + np.unique(doc)] = True
     return bits, some
 
@@ -141,54 +199,81 @@ def fingerprints_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 WORDS = ["f0", "f1", "f2", "f3"]
 
 
+def set_hashes(row: np.ndarray, s: np.ndarray, rows: int) -> np.ndarray:
+    """A hash of each row's set of shingles; 0 for none."""
+    with np.errstate(over="ignore"):
+        total = np.zeros(rows, np.uint64)
+        np.add.at(total, row, mix64(s.view(np.uint64)))
+    return total.view(np.int64)
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, f0, f1, f2, f3) of the documents that have words."""
+    """(doc_id, h, f0, f1, f2, f3, sh, keys) of the documents that have words: the hash of the text, the
+    fingerprint, the hash of the set of shingles and the keys of its bands."""
+    names = ["doc_id", "h", *WORDS, "sh", "keys"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bits, some = fingerprints_of(clean_text(b.column(1), True))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(bits[:, k]) for k in range(4))], ["doc_id", *WORDS]).filter(pa.array(some))
-
-    return docs.select("doc_id", "text").where("doc_id is not null and text is not null").mapInArrow(scan, "doc_id long, f0 long, f1 long, f2 long, f3 long")
+            for lo, hi, doc, h in words_by_row(clean_text(b.column(2), True)):
+                bits = vectors_of(doc, h, hi - lo)
+                row, s = shingles_of(doc, h)
+                sh = set_hashes(row, s, hi - lo)
+                rows, keys = bands_of(row, s)
+                ends = np.zeros(hi - lo + 1, np.int32)
+                ends[rows + 1] = BANDS
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum(ends, dtype=np.int32)), pa.array(keys.reshape(-1)))
+                out = pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), *(pa.array(bits[:, k]) for k in range(4)), pa.array(sh), lists], names)
+                yield out.take(pa.array(np.unique(doc)))
+
+    own = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+    return own.mapInArrow(scan, "doc_id long, h long, f0 long, f1 long, f2 long, f3 long, sh long, keys array<long>")
+
+
+def classes(fps: DataFrame) -> DataFrame:
+    """(node, doc_id, f0, f1, f2, f3, sh, keys) of the classes, numbered by their smallest doc_id, or by a hash
+    where that heads several."""
+    found = fps.groupBy(*WORDS, "sh").agg(F.min(F.struct("doc_id", "keys")).alias("m")).select("m.doc_id", *WORDS, "sh", "m.keys")
+    found = materialize(found, "classes")
+    several = materialize(found.groupBy("doc_id").count().where("count > 1").select("doc_id"), "several")
+    if several.isEmpty():
+        return found.select(F.col("doc_id").alias("node"), "*")
+    apart = matching(found, [F.col("doc_id")], several).select(F.xxhash64(F.lit("class"), "doc_id", *WORDS, "sh").alias("node"), "*")
+    return materialize(without(found, [F.col("doc_id")], several).select(F.col("doc_id").alias("node"), "*").unionByName(apart), "nodes")
 
 
 def alike_pairs(docs: DataFrame, nodes: DataFrame, known: DataFrame, alike: float) -> DataFrame:
     """(a, b), a < b, of nodes whose texts' shingles are alike and that are not among the known pairs."""
 
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = clean_text(b.column(1), True)
-            for lo, hi in pieces(buffer_of(texts)[1], PIECE):
-                rows, keys = bands_of(*shingles_of(texts.slice(lo, hi - lo)))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * BANDS), pa.array(keys.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo).take(pa.array(rows)), lists], ["node", "keys"])
-
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = clean_text(b.column(1), True)
-            for lo, hi in pieces(buffer_of(texts)[1], PIECE):
-                row, s = shingles_of(texts.slice(lo, hi - lo))
+            for lo, hi, doc, h in words_by_row(clean_text(b.column(1), True)):
+                row, s = shingles_of(doc, h)
                 rows, at, n = np.unique(row, return_index=True, return_counts=True)
+                # ordered by the leading 32 bits, which are what is kept
                 least = np.arange(len(row)) - np.repeat(at, n) < SKETCH
                 ends = np.concatenate([[0], np.cumsum(np.minimum(n, SKETCH))]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo).take(pa.array(rows)), pa.array(n > SKETCH), pa.ListArray.from_arrays(pa.array(ends), pa.array(s[least]))], ["node", "more", "s"])
+                sh = set_hashes(row, s, hi - lo)[rows]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo).take(pa.array(rows)), pa.array(sh), pa.array(n), pa.ListArray.from_arrays(pa.array(ends), pa.array((s[least] >> 32).astype(np.int32)))], ["doc_id", "sh", "n", "s"])
 
-    own = docs.select(F.col("doc_id").cast("long").alias("node"), "text").where("node is not null and text is not null")
-    # only the rows of nodes: copies of equal fingerprint would meet in every band
-    keyed = own.mapInArrow(sketch, "node long, keys array<long>")
-    keyed = materialize(keyed.join(nodes.select("node").distinct(), "node", "left_semi").dropDuplicates(["node", "keys"]), "bands").select("node", F.explode("keys").alias("key"))
+    keyed = nodes.select("node", F.explode("keys").alias("key"))
     x, y = keyed.alias("x"), keyed.alias("y")
     met = x.join(y.hint("merge"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     met = materialize(met.distinct().join(known, ["a", "b"], "left_anti"), "met")
-    ids = met.select(F.col("a").alias("node")).union(met.select("b")).distinct()
-    held = materialize(join_checked(own, ids, ["node"], "left_semi").mapInArrow(sets, "node long, more boolean, s array<long>"), "shingles")
-    side = lambda k: held.select(F.col("node").alias(k), F.col("more").alias("m" + k), F.col("s").alias("s" + k))
-    both = met.join(side("a"), "a").join(side("b"), "b")
+    ids = materialize(met.select(F.col("a").alias("node")).union(met.select("b")).distinct().join(nodes, "node").select("node", "doc_id", "sh"), "met-ids")
+    own = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    held = matching(own, [F.col("doc_id")], ids.select("doc_id")).mapInArrow(sets, "doc_id long, sh long, n long, s array<int>")
+    held = materialize(held.join(ids, ["doc_id", "sh"]).dropDuplicates(["node"]).select("node", "n", "s"), "shingles")
+    size = lambda k: held.select(F.col("node").alias(k), F.col("n").alias("n" + k))
+    fit = met.join(size("a"), "a").join(size("b"), "b").where(F.least("na", "nb") >= F.lit(alike) * F.greatest("na", "nb"))
+    side = lambda k: held.select(F.col("node").alias(k), F.col("s").alias("s" + k))
+    both = fit.join(side("a"), "a").join(side("b"), "b")
     # hashes up to the last that both sketches hold are a sample of the union
-    both = both.withColumn("last", F.least(F.when(F.col("ma"), F.element_at("sa", -1)), F.when(F.col("mb"), F.element_at("sb", -1)), F.lit((1 << 63) - 1)))
+    both = both.withColumn("last", F.least(*(F.when(F.col("n" + k) > SKETCH, F.element_at("s" + k, -1)) for k in "ab"), F.lit((1 << 31) - 1)))
     upto = lambda k: F.size(F.filter(k, lambda v: v <= F.col("last")))
     both = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("i"), (upto("sa") + upto("sb")).alias("n"))
-    return both.where(F.col("i") >= F.lit(alike) * (F.col("n") - F.col("i"))).select("a", "b").distinct()
+    found = materialize(both.where(F.col("i") >= F.lit(alike) * (F.col("n") - F.col("i"))).select("a", "b").distinct(), "alike")
+    discard(met, ids, held)
+    return found
 
 
 def unpack(b: pa.RecordBatch) -> np.ndarray:
@@ -321,7 +406,7 @@ def keys_of(bits: np.ndarray, partitions: list[tuple[np.ndarray, int]]) -> tuple
 
 
 #: Within a partition a pair counts once: both keys their rows' own, or the one way of two to meet halfway.
-MEET = "x.made = 0 or y.made > x.made"
+MEET = "(x.k & 255) = 1 or (y.k & 255) > (x.k & 255)"
 
 
 def pairs(nodes: DataFrame, threshold: int = THRESHOLD, check: int = CHECK) -> DataFrame:
@@ -336,14 +421,15 @@ def pairs(nodes: DataFrame, threshold: int = THRESHOLD, check: int = CHECK) -> D
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(keys << np.int64(8) | (made + np.int64(1))))
                 yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(3)), lists], ["node", "f0", "f1", "keys"])
 
+    # key and manner stay in one number until after the shuffle
     probes = nodes.select("node", "f0", "f1").mapInArrow(probe, "node long, f0 long, f1 long, keys array<long>").select("node", "f0", "f1", F.explode("keys").alias("k"))
-    probes = probes.select("node", "f0", "f1", F.shiftright("k", 8).alias("key"), (F.col("k").bitwiseAND(255) - 1).cast("byte").alias("made"))
     x, y = probes.alias("x"), probes.alias("y")
     differ = lambda a, b, words: sum((F.bit_count(F.col(f"{a}.{w}").bitwiseXOR(F.col(f"{b}.{w}"))) for w in words), F.lit(0))
-    near = x.join(y.hint("merge"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & F.expr(MEET) & (differ("x", "y", WORDS[:2]) <= threshold))
+    near = x.join(y.hint("merge"), (F.shiftright("x.k", 8) == F.shiftright("y.k", 8)) & (F.col("x.node") < F.col("y.node")) & F.expr(MEET) & (differ("x", "y", WORDS[:2]) <= threshold))
     found = materialize(near.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "pairs")
     # the other 128 bits come by join, as the pairs are few beside the probes
-    a, b = nodes.alias("na"), nodes.alias("nb")
+    own = nodes.select("node", *WORDS)
+    a, b = own.alias("na"), own.alias("nb")
     full = found.join(a, F.col("a") == F.col("na.node")).join(b, F.col("b") == F.col("nb.node"))
     return full.where(differ("na", "nb", WORDS) <= check).select("a", "b")
 
@@ -365,31 +451,45 @@ def components(edges: DataFrame) -> DataFrame:
         small = down.join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").union(least.select(F.col("m").alias("a"), F.col("u").alias("b"))).distinct()
         small = materialize(small, "small")
         state = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
-        if state(small) == state(edges):
-            break
+        done = state(small) == state(edges)
+        discard(large, edges)
         edges = small
+        if done:
+            break
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, check: int = CHECK, alike: float | None = None) -> DataFrame:
-    """(doc_id, dup_of, distance): each document that goes as it is near another of its group, the
-    smallest doc_id of which is dup_of and stays; distance is in the first 128 bits. Without alike,
-    fingerprints alone decide."""
+def _found(docs: DataFrame, threshold: int, check: int, alike: float | None) -> DataFrame:
+    """(doc_id, h, dup_of, distance, links) of rows that are not the first of their group; h is the text's hash."""
     fps = materialize(fingerprints(docs), "fingerprints")
-    nodes = materialize(fps.groupBy(*WORDS).agg(F.min("doc_id").alias("node")).select("node", *WORDS), "nodes")
-    # a doc_id whose rows differ heads several nodes: the edges then tie them by their number
-    edges = pairs(nodes, threshold, check)
+    nodes = classes(fps)
+    edges = materialize(pairs(nodes, threshold, check), "near")
     if alike is not None:
-        edges = materialize(edges, "near")
         edges = edges.union(alike_pairs(docs, nodes, edges, alike))
-    linked = components(edges)
-    group = nodes.join(linked, "node", "left").select("node", F.coalesce("root", "node").alias("dup_of"), *[F.col(w).alias("n" + w) for w in WORDS])
-    own = fps.join(group, [fps[w] == group["n" + w] for w in WORDS]).where("doc_id <> dup_of").select("doc_id", "dup_of", "f0", "f1")
-    head = nodes.groupBy(F.col("node").alias("dup_of")).agg(F.min(F.struct("f0", "f1")).alias("k"))
-    distance = F.bit_count(F.col("f0").bitwiseXOR(F.col("k.f0"))) + F.bit_count(F.col("f1").bitwiseXOR(F.col("k.f1")))
-    return own.join(F.broadcast(head) if is_small(head) else head, "dup_of").groupBy("doc_id").agg(F.min(F.struct("dup_of", distance.alias("distance"))).alias("d")).select("doc_id", "d.dup_of", "d.distance")
+    links = edges.select(F.col("a").alias("node")).union(edges.select("b")).groupBy("node").agg(F.count("*").alias("links"))
+    of = nodes.select("node", "doc_id", *WORDS, "sh").join(components(edges), "node", "left").join(links, "node", "left")
+    of = materialize(of.select("*", F.coalesce("root", "node").alias("group")).drop("root"), "groups")
+    # of each group the smallest doc_id, and of its texts the first by fingerprint
+    head = of.groupBy("group").agg(F.min(F.struct("doc_id", *WORDS, "sh")).alias("first"))
+    with_head = join_unique(of.select("node", *WORDS, "sh", "links", "group"), head, "group")
+    tag = lambda df: df.withColumn("class", F.xxhash64(*WORDS, "sh"))
+    kinds = tag(with_head).select("class", *[F.col(w).alias("n" + w) for w in [*WORDS, "sh"]], "first", F.coalesce("links", F.lit(0)).alias("links"))
+    rows = join_unique(tag(fps.select("doc_id", "h", *WORDS, "sh")), kinds, "class")
+    same = lambda side: F.expr(" and ".join(f"{w} = {side(w)}" for w in [*WORDS, "sh"]))
+    rows = rows.where(same(lambda w: "n" + w)).where((F.col("doc_id") != F.col("first.doc_id")) | ~same(lambda w: "first." + w))
+    distance = F.bit_count(F.col("f0").bitwiseXOR(F.col("first.f0"))) + F.bit_count(F.col("f1").bitwiseXOR(F.col("first.f1")))
+    return rows.select("doc_id", "h", F.col("first.doc_id").alias("dup_of"), distance.alias("distance"), "links")
+
+
+def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, check: int = CHECK, alike: float | None = None) -> DataFrame:
+    """(doc_id, dup_of, distance, links): each document that goes as it is near another of its group, the
+    smallest doc_id of which is dup_of and stays; distance is in the first 128 bits, links the number of different
+    texts near its own. Without alike, fingerprints alone decide."""
+    found = _found(docs, threshold, check, alike)
+    return found.groupBy("doc_id").agg(F.min(F.struct("dup_of", "distance", "links")).alias("d")).select("doc_id", "d.dup_of", "d.distance", "d.links")
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, check: int = CHECK, alike: float | None = ALIKE) -> DataFrame:
     """docs with one document of each group."""
-    return without_ids(docs, near_duplicates(docs, threshold, check, alike))
+    gone = materialize(_found(docs, threshold, check, alike).select("doc_id", "h"), "near-copies")
+    return without(docs, [docs["doc_id"].cast("long"), F.xxhash64(docs["text"])], gone)

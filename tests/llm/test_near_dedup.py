@@ -54,7 +54,7 @@ def roots(pairs):
 def test_pairs_equal_brute_force(spark, threshold, check):
     rows = corpus()
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    nodes = materialize(nd.fingerprints(docs).groupBy(*nd.WORDS).agg(F.min("doc_id").alias("node")).select("node", *nd.WORDS), "nodes")
+    nodes = nd.classes(materialize(nd.fingerprints(docs), "fingerprints"))
     kept = {r["node"] for r in nodes.collect()}
     found = [(r["a"], r["b"]) for r in nd.pairs(nodes, threshold, check).collect()]
     assert len(found) == len(set(found))
@@ -129,3 +129,37 @@ def test_short_near_copies_are_found_by_similarity(spark):
     assert all(x // 2 == y // 2 for x, y in found.items())
     kept = {x["doc_id"] for x in nd.drop_near_duplicates(docs).collect()}
     assert kept == {x for x, _ in rows} - set(found)
+
+
+@pytest.mark.parametrize("block", [1, 3, 10, 1000])
+def test_long_words_cross_blocks(block):
+    r = random.Random(block)
+    data = np.frombuffer("".join(r.choice("abc é.,  \n") for _ in range(500)).encode() + b"x" * 40, np.uint8)
+    assert (nd.long_words(data, block) == nd.words_of(data)[2]).all()
+
+
+def test_links_are_those_of_brute_force(spark):
+    rows = corpus()
+    found = nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    degree = {}
+    for a, b in brute_pairs(rows, nd.THRESHOLD, nd.CHECK):
+        degree.setdefault(a, set()).add(dict(rows)[b])
+        degree.setdefault(b, set()).add(dict(rows)[a])
+    texts = dict(rows)
+    assert all(r["links"] == len(degree[r["doc_id"]] - {texts[r["doc_id"]]}) for r in found)
+
+
+def test_texts_of_one_doc_id_are_judged_apart(spark):
+    r = random.Random(3)
+    a, b = text(r, 60), text(r, 60)
+    rows = [(1, a), (2, a + " end"), (2, b), (3, b), (3, a.upper()), (4, text(r, 60))]
+    kept = nd.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((x["doc_id"], x["text"]) for x in kept) == sorted([rows[0], rows[2], rows[5]])
+
+
+def test_a_hot_text_is_split(spark):
+    r = random.Random(2)
+    hot = text(r, 40)
+    rows = [(i, hot if i % 3 == 0 else text(r, 40)) for i in range(1500)]
+    found = nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), alike=nd.ALIKE).collect()
+    assert {x["doc_id"]: x["dup_of"] for x in found} == {i: 0 for i in range(3, 1500, 3)}
