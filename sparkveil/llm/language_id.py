@@ -15,15 +15,17 @@ bends a prototype, the language's others may be nearest to another), or if chanc
 Bundling is linear. Prototypes are therefore bundled from trigram counts that are summed over the
 corpus on the map side first: what is shuffled is (language, trigram, count), never text.
 
-Defined cases: null or empty text and text without letters have no vector and are rejected;
-documents with a null declared language are classified but form no prototype; without any
-prototype all are rejected; equal cosines go to the alphabetically first language; repeated rows
+Defined cases: null or empty text and text without letters have no vector and are rejected; a very long text
+is read whole, in blocks whose trigrams are counted together, so that it takes no more memory than others;
+documents with a null declared language are classified but form no prototype, bytes of a declared language
+that are no UTF-8 become U+FFFD; without any prototype all are rejected; equal cosines go to the alphabetically first language; repeated rows
 are judged alike, row by row; extra columns pass through the filter untouched, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,14 +42,15 @@ MIN_COSINE = 0.06
 #: Least share of the cosine that is expected of a text with as many trigrams.
 MIN_SHARE = 0.25
 SLOTS = 128
-PIECE = 1_000_000
+#: Bytes of text, and rows, that are worked on at once.
+PIECE, JUDGED_PIECE, JUDGED_ROWS = 500_000, 150_000, 512
 
 
+@lru_cache
 def letter_slots() -> np.ndarray:
-    """Slot of each code point below 0x10000: 0 for what is no letter, 1-26 for a-z, else by hash.
-    Letters beyond that plane separate words, as other characters do."""
-    slots = np.zeros(0x10000, np.uint8)
-    for cp in range(0x10000):
+    """Slot of each code point: 0 for what is no letter, 1-26 for a-z, else by hash."""
+    slots = np.zeros(0x110000, np.uint8)
+    for cp in range(0x110000):
         if not 0xD800 <= cp < 0xE000 and chr(cp).isalpha():
             slots[cp] = cp - 96 if 97 <= cp <= 122 else 27 + (cp * 2654435761 >> 7) % (SLOTS - 27)
     return slots
@@ -67,19 +70,49 @@ def trigram_counts(texts: pa.Array, slots: np.ndarray) -> tuple[np.ndarray, np.n
     """(row, trigram, count) of lower-cased texts, ordered by row. Runs of non-letters are one space."""
     padded = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), texts, pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string()))
     data, _ = buffer_of(padded)
-    codes = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
-    s = slots[np.where(codes < 0x10000, codes, 32)]
-    row = np.repeat(np.arange(len(texts), dtype=np.int64), pc.utf8_length(padded).to_numpy(zero_copy_only=False))
+    s = slots[np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)]
+    row = np.repeat(np.arange(len(texts), dtype=np.int32), pc.utf8_length(padded).to_numpy(zero_copy_only=False))
     keep = np.ones(len(s), bool)
     keep[1:] = (s[1:] != 0) | (s[:-1] != 0) | (row[1:] != row[:-1])
-    s, row = s[keep].astype(np.int64), row[keep]
+    s, row = s[keep].astype(np.int32), row[keep]
     if len(s) < 3:
         return (np.zeros(0, np.int64),) * 3
-    inside = (row[2:] == row[:-2]) & (s[1:-1] + s[:-2] > 0)
-    keys, counts = np.unique((row[2:][inside] << 21) | (s[:-2] << 14 | s[1:-1] << 7 | s[2:])[inside], return_counts=True)
+    inside = row[2:] == row[:-2]
+    keys, counts = np.unique((row[2:][inside].astype(np.int64) << 21) | (s[:-2] << 14 | s[1:-1] << 7 | s[2:])[inside], return_counts=True)
     return keys >> 21, keys & 0x1FFFFF, counts
 
 
+def long_counts(data: np.ndarray, slots: np.ndarray, block: int = PIECE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """trigram_counts() of one text of any length, its bytes read block by block."""
+    total, last, at = np.zeros(1 << 21, np.int64), np.zeros(1, np.int32), 0
+    while at <= len(data):
+        end = min(at + block, len(data))
+        while end < len(data) and data[end] & 0xC0 == 0x80:
+            end += 1
+        s = slots[np.frombuffer(data[at:end].tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)].astype(np.int32)
+        if end == len(data):
+            s, end = np.append(s, 0), end + 1
+        s = np.concatenate([last, s])
+        keep = np.ones(len(s), bool)
+        keep[len(last) :] = (s[len(last) :] != 0) | (s[len(last) - 1 : -1] != 0)
+        s = s[keep]
+        if len(s) > 2:
+            total += np.bincount(s[:-2] << 14 | s[1:-1] << 7 | s[2:], minlength=1 << 21)
+        last, at = s[-2:], end
+    tri = np.flatnonzero(total)
+    return np.zeros(len(tri), np.int64), tri, total[tri]
+
+
+def counted(texts: pa.Array, slots: np.ndarray, most: int, rows: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(lo, hi, row, trigram, count) of ranges of lower-cased texts of about so many bytes and rows at most."""
+    for start, stop in pieces(buffer_of(texts)[1], most):
+        for lo in range(start, stop, rows):
+            hi = min(stop, lo + rows)
+            own = texts.slice(lo, hi - lo)
+            data, _ = buffer_of(own)
+            yield lo, hi, *(long_counts(data, slots) if hi - lo == 1 and len(data) > most else trigram_counts(own, slots))
+
+
 class Prototypes(dict):
     """The unit vector of each language, and in slopes the cosine expected of a text of one trigram."""
 
@@ -101,9 +134,10 @@ def prototypes(docs: DataFrame, dims: int = DIMS) -> Prototypes:
         for batch in batches:
             texts = clean_text(batch.column(0), True)
             lang = np.array([names.setdefault(x, len(names)) for x in batch.column(1).to_pylist()], np.int64)
-            for lo, hi in pieces(buffer_of(texts)[1], PIECE):
-                row, tri, n = trigram_counts(texts.slice(lo, hi - lo), slots)
-                held.append(((lang[lo:hi][row] << 21) | tri, n, np.sqrt(n)))
+            for lo, _, row, tri, n in counted(texts, slots, PIECE, 1 << 20):
+                # summed over the piece's rows at once: what is held has no more keys than there are trigrams
+                keys, back = np.unique((lang[lo + row] << 21) | tri, return_inverse=True)
+                held.append((keys, np.bincount(back, n, len(keys)), np.bincount(back, np.sqrt(n), len(keys))))
                 if len(held) >= 32:
                     held[:] = [merged()]
         if held:
@@ -120,7 +154,7 @@ def prototypes(docs: DataFrame, dims: int = DIMS) -> Prototypes:
             v += n[at : at + 1024] @ trigram_vectors(tri[at : at + 1024], letters)
         return pa.table([table["lang"].slice(0, 1), pa.array([v / max(np.linalg.norm(v), 1e-9)], pa.list_(pa.float64())), pa.array([n @ d / np.linalg.norm(n) / d.sum()])], ["lang", "v", "slope"])
 
-    counts = docs.select("text", F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null").mapInArrow(count, "lang string, tri long, n double, d double")
+    counts = docs.select("text", F.make_valid_utf8(F.col("lang").cast("string")).alias("lang")).where("lang is not null and text is not null").mapInArrow(count, "lang string, tri long, n double, d double")
     rows = counts.groupBy("lang", "tri").agg(F.sum("n").alias("n"), F.sum("d").alias("d")).groupBy("lang").applyInArrow(bundle, "lang string, v array<double>, slope double").collect()
     out = Prototypes({r["lang"]: np.array(r["v"]) for r in sorted(rows, key=lambda r: r["lang"])})
     out.slopes = {r["lang"]: r["slope"] for r in rows}
@@ -135,8 +169,7 @@ def _judge(protos: dict[str, np.ndarray], dims: int, slots: np.ndarray, texts: p
     if not len(p):
         return best, cosine, margin, expected
     slope = min(getattr(protos, "slopes", {}).get(x, 0) for x in protos)
-    for lo, hi in pieces(buffer_of(texts)[1], PIECE):
-        row, tri, n = trigram_counts(texts.slice(lo, hi - lo), slots)
+    for lo, hi, row, tri, n in counted(texts, slots, JUDGED_PIECE, JUDGED_ROWS):
         if not len(row):
             continue
         grams, at = np.unique(tri, return_inverse=True)

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sparkveil.llm import language_id as li
@@ -82,3 +83,19 @@ def test_gibberish_and_other_languages_are_rejected(spark):
     assert found.where("accepted").count() <= 0.01 * len(rows)
     short = train.where("text rlike '[a-z]{3}'").selectExpr("doc_id", "array_join(slice(split(text, ' '), 1, 3), ' ') as text", "lang").where("text rlike '[a-z]{3}'")
     assert li.language_id(short, li.prototypes(train)).where("accepted").count() >= 0.95 * short.count()
+
+
+@pytest.mark.parametrize("block", [1, 2, 7, 100])
+def test_blocks_of_a_long_text_count_alike(block):
+    r = random.Random(block)
+    text = "".join(r.choice("abc  é中\U00010400!") for _ in range(500))
+    data = np.frombuffer(text.encode(), np.uint8)
+    _, tri, n = li.long_counts(data, li.letter_slots(), block)
+    _, want, m = li.trigram_counts(pa.array([text], pa.large_string()), li.letter_slots())
+    assert (tri == want).all() and (n == m).all()
+
+
+def test_letters_beyond_the_basic_plane_and_invalid_languages(spark):
+    rows = [(i, "".join(chr(0x10428 + (7 * k * (i + 1)) % 9 + k % 5) + " " * (k % 4 == 0) for k in range(80)), b"ds\xff") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang binary").selectExpr("doc_id", "text", "cast(lang as string) lang")
+    assert {r["predicted"] for r in li.language_id(docs).collect()} == {"ds�"}
