@@ -7,7 +7,7 @@ record's end it goes on to the next magic, so that a damaged member costs that r
 
 Defined cases: a null url leaves its header out and comes back null; a null payload is marked as such and
 comes back null, an empty one empty; null page_id comes back null; line ends in a url and white space around
-it are escaped, and it may be of any length;
+it are escaped, and it may be of any length; bytes of url or payload that are no UTF-8 come back as they are;
 repeated rows are records of their own; empty files and an empty table give no records; a payload larger
 than a split is read by its owner alone; magic bytes inside compressed data fail validation; damaged or
 cut members are left out; extra columns are not written.
@@ -21,40 +21,43 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
-from urllib.parse import quote, unquote
+from urllib.parse import unquote_to_bytes
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import shared_dir
 
 SPLIT_BYTES = 4 << 20
 READ = 1 << 18
 MAGIC = b"\x1f\x8b\x08"
-COLUMNS = "path string, at long, type string, record_id string, url string, payload string"
+COLUMNS = "path string, at long, type string, record_id string, url binary, payload binary"
 
 
 def open_fs(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
-def escaped(url: str) -> str:
-    """url without line ends and outer white space, which unquote() restores."""
+def escaped(url: bytes) -> bytes:
+    """url without line ends and outer white space, which unquote_to_bytes() restores."""
     inner = url.strip()
     at = url.find(inner)
-    return quote(url[:at]) + inner.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A") + quote(url[at + len(inner) :])
+    plain = lambda x: b"".join(b"%%%02X" % c for c in x)
+    return plain(url[:at]) + inner.replace(b"%", b"%25").replace(b"\r", b"%0D").replace(b"\n", b"%0A") + plain(url[at + len(inner) :])
 
 
-def record(page_id: int | None, url: str | None, html: str | None) -> bytes:
+def record(page_id: int | None, url: bytes | str | None, html: bytes | str | None) -> bytes:
     """One WARC record."""
-    block = (html or "").encode("utf-8", "surrogatepass")
+    url, html = (x.encode("utf-8", "surrogatepass") if isinstance(x, str) else x for x in (url, html))
+    block = html or b""
     lines = [b"WARC/1.1", b"WARC-Type: resource", b"WARC-Date: 2020-01-01T00:00:00Z", b"Content-Type: text/html"]
     lines.append(b"WARC-Record-ID: <urn:uuid:%s>" % str(uuid.UUID(int=page_id & (1 << 64) - 1)).encode() if page_id is not None else b"WARC-Record-ID: <urn:none>")
     if url is not None:
-        safe = escaped(url) if url != url.strip() or any(c in url for c in "\r\n") else url
-        lines.append(b"WARC-Target-URI: " + safe.encode("utf-8", "surrogatepass"))
-        if safe is not url:
+        bent = url != url.strip() or b"\r" in url or b"\n" in url
+        lines.append(b"WARC-Target-URI: " + (escaped(url) if bent else url))
+        if bent:
             lines.append(b"X-Escaped: 1")
     if html is None:
         lines.append(b"X-Null: 1")
@@ -87,7 +90,7 @@ def write(pages: DataFrame, folder: str, level: int = 1) -> None:
 
     system, base = open_fs(folder)
     system.create_dir(base, recursive=True)
-    pages.select("page_id", "url", "html").mapInArrow(run, "n long").agg({"n": "sum"}).collect()
+    pages.select("page_id", F.col("url").cast("binary"), F.col("html").cast("binary")).mapInArrow(run, "n long").agg({"n": "sum"}).collect()
 
 
 def inflate(f, at: int) -> tuple[bytes, int] | None:
@@ -112,25 +115,24 @@ def inflate(f, at: int) -> tuple[bytes, int] | None:
     return (b"".join(out), at - len(d.unused_data)) if checked else None
 
 
-def parse(data: bytes) -> tuple[dict[str, str], bytes] | None:
+def parse(data: bytes) -> tuple[dict[bytes, bytes], bytes] | None:
     """Headers by lower-case name and the block; None unless the length and any digest agree."""
     end = data.find(b"\r\n\r\n")
     if end < 0:
         return None
-    lines = data[:end].decode("utf-8", "replace").split("\r\n")
-    headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-    length = headers.get("content-length", "")
+    headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in data[:end].split(b"\r\n")[1:])}
+    length = headers.get(b"content-length", b"")
     block = data[end + 4 :]
     if not length.isdigit() or len(block) < int(length) or block[int(length) :].strip(b"\r\n"):
         return None
     block = block[: int(length)]
-    digest = headers.get("warc-block-digest", "")
-    if digest.startswith("sha1:") and digest[5:].encode() != base64.b32encode(hashlib.sha1(block).digest()):
+    digest = headers.get(b"warc-block-digest", b"")
+    if digest.startswith(b"sha1:") and digest[5:] != base64.b32encode(hashlib.sha1(block).digest()):
         return None
     return headers, block
 
 
-def members(f, start: int, end: int) -> Iterator[tuple[int, dict[str, str], bytes]]:
+def members(f, start: int, end: int) -> Iterator[tuple[int, dict[bytes, bytes], bytes]]:
     """(position, headers, block) of the records that start in a range of bytes."""
     at = start
     while at < end:
@@ -164,30 +166,31 @@ def read(spark: SparkSession, folder: str, split_bytes: int = SPLIT_BYTES) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in COLUMNS.split(", ")]
+        kinds = [{"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[x.split()[1]] for x in COLUMNS.split(", ")]
+        text = lambda x: x if x is None else x.decode("utf-8", "replace")
         for b in batches:
             for path, start, end in zip(*(c.to_pylist() for c in b.columns)):
                 system, own = open_fs(path)
                 rows, size = [], 0
                 with system.open_input_file(own) as f:
                     for at, h, block in members(f, start, end):
-                        url = h.get("warc-target-uri")
-                        if url is not None and h.get("x-escaped"):
-                            url = unquote(url, errors="surrogatepass")
-                        rows.append((path, at, h.get("warc-type"), h.get("warc-record-id"), url, None if h.get("x-null") else block.decode("utf-8", "replace")))
-                        size += len(block)
+                        url = h.get(b"warc-target-uri")
+                        if url is not None and h.get(b"x-escaped"):
+                            url = unquote_to_bytes(url)
+                        rows.append((path, at, text(h.get(b"warc-type")), text(h.get(b"warc-record-id")), url, None if h.get(b"x-null") else block))
+                        size += len(block) + len(url or b"")
                         if size > 4_000_000:
-                            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k == 1 else pa.string()) for k, c in enumerate(zip(*rows))], names)
+                            yield pa.RecordBatch.from_arrays([pa.array(c, k) for k, c in zip(kinds, zip(*rows))], names)
                             rows, size = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k == 1 else pa.string()) for k, c in enumerate(zip(*rows))], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for k, c in zip(kinds, zip(*rows))], names)
 
-    return splits(spark, folder, split_bytes).mapInArrow(run, COLUMNS)
+    found = splits(spark, folder, split_bytes).mapInArrow(run, COLUMNS)
+    return found.withColumns({c: F.col(c).cast("string") for c in ("url", "payload")})
 
 
 def round_trip(pages: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """pages (page_id, url, html) written as WARC files to the shared folder and read again."""
-    from pyspark.sql import functions as F
-
     spark = pages.sparkSession
     folder = shared_dir(spark, "warc")
     write(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html"), folder)

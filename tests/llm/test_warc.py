@@ -61,3 +61,10 @@ def test_urls_of_any_length_and_outer_white_space(spark):
     rows = [(i, u, f"<p>{i}</p>") for i, u in enumerate(urls)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     assert sorted(map(tuple, warc.round_trip(pages, 1000).collect())) == rows
+
+
+def test_bytes_that_are_no_utf8_come_back(spark):
+    rows = [(1, bytearray(b"http://a/\xff"), bytearray(b"<p>\xc3\x28\xff</p>")), (2, bytearray(b" \xfe\n"), bytearray(b"\xed\xa0\x80"))]
+    pages = spark.createDataFrame(rows, "page_id long, url binary, html binary").selectExpr("page_id", "cast(url as string) url", "cast(html as string) html")
+    out = warc.round_trip(pages, 1000).selectExpr("page_id", "cast(url as binary) url", "cast(html as binary) html")
+    assert sorted(map(tuple, out.collect())) == rows
