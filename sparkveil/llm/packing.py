@@ -6,11 +6,12 @@ space of which there is an open bin, so that the best fit is the lowest set bit
 At most ``OPEN`` bins are open; when a new one is needed beyond that, the fullest closes.
 
 Documents are packed in independent shards of about ``SHARD_DOCS`` documents, assigned and ordered by
-hash of doc_id: each shard is a stream that one task packs with memory for its open bins alone. Only
-(doc_id, tokens) is shuffled.
+hash of doc_id: each shard is a stream that one task packs with memory for its open bins alone. Rows alike in
+doc_id and tokens are counted first and go to shards by hash of their number too, so that neither copies nor
+rows without doc_id make a shard larger. Only (doc_id, tokens) is shuffled.
 
 Defined cases: null, empty or white text has no tokens and is put nowhere; null doc_id is packed like
-any other; repeated rows are all packed; ties in free space go to the bin opened first; an empty
+any other; repeated rows are all packed; a very long text fills as many sequences as it needs; ties in free space go to the bin opened first; an empty
 table gives no sequence; extra columns are ignored.
 """
 
@@ -73,7 +74,9 @@ def pack(docs: DataFrame, length: int = LENGTH, most_open: int = OPEN, shard_doc
     """(shard, bin, offset, doc_id, start, tokens) of each piece of each document."""
     sized = materialize(docs.select("doc_id", tokens().alias("tokens")).where("tokens > 0"), "sizes")
     shards = max(1, -(-sized.count() // shard_docs))
-    shuffled = sized.withColumn("at", F.xxhash64(F.lit("pack"), "doc_id")).withColumn("shard", F.pmod("at", F.lit(shards)).cast("long"))
+    alike = sized.groupBy("doc_id", "tokens").agg(F.count("*").alias("n")).select("doc_id", "tokens", F.explode(F.sequence(F.lit(1), "n")).alias("k"))
+    own = F.when((F.col("k") > 1) | F.col("doc_id").isNull(), F.xxhash64(F.lit("pack"), "doc_id", "tokens", "k")).otherwise(F.col("at"))
+    shuffled = alike.withColumn("at", F.xxhash64(F.lit("pack"), "doc_id")).withColumn("shard", F.pmod(own, F.lit(shards)).cast("long")).drop("k")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["at", "doc_id", "tokens"], kind="stable", na_position="last")

@@ -1,6 +1,7 @@
 """Best-fit packing against a list-based version."""
 
 import random
+from collections import Counter
 
 import pytest
 
@@ -76,3 +77,11 @@ def test_defined_cases(spark):
         total[r["doc_id"]] = total.get(r["doc_id"], 0) + r["tokens"]
     assert total == {1: 6, None: 3, 7: 50000}
     assert packing.pack(docs.limit(0)).count() == 0
+
+
+def test_neither_null_ids_nor_copies_make_a_shard_large(spark):
+    docs = spark.range(3000).selectExpr("case when id % 3 = 0 then null when id % 3 = 1 then 5 else id end as doc_id", "'a b c' as text")
+    pieces = packing.pack(docs, 512, 16, shard_docs=300).collect()
+    assert sum(r["tokens"] for r in pieces) == 9000
+    sizes = Counter(r["shard"] for r in pieces)
+    assert len(sizes) == 10 and max(sizes.values()) < 450
