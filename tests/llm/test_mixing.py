@@ -80,3 +80,27 @@ def test_defined_cases(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
     assert mixing.mix(docs.where("doc_id in (4, 5, 6)")).count() == 3
     assert mixing.mix(docs.where("source = 'a' and lang = 'en'")).count() == 3  # one source, one language
+
+
+def test_targets_that_conflict(spark):
+    """Each source has one language, so that languages can't keep their shares."""
+    r = random.Random(7)
+    rows = [(i, "a" if i % 10 else "b", "en" if i % 10 else "fr", " ".join(["w"] * r.randint(1, 20))) for i in range(100)]
+    found = mixing.rates(table(spark, rows)).collect()
+    tokens = Counter()
+    for x in found:
+        tokens[x["source"], x["lang"]] += x["tokens"]
+    goal_s, goal_g = mixing.targets(dict(tokens), mixing.ALPHA)
+    assert goal_g["en"] == pytest.approx(goal_s["a"]) and goal_g["fr"] == pytest.approx(goal_s["b"])
+    for k, want in goal_s.items():
+        assert sum(x["rate"] * x["tokens"] for x in found if x["source"] == k) == pytest.approx(want, rel=1e-4)
+    # sources that share a language leave it room
+    goal_s, goal_g = mixing.targets({("a", "en"): 900.0, ("b", "fr"): 80.0, ("b", "en"): 20.0}, mixing.ALPHA)
+    assert sum(goal_s.values()) == pytest.approx(sum(goal_g.values())) and goal_g["fr"] < goal_s["b"]
+
+
+def test_targets_out_of_reach_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "targets", lambda tokens, alpha: ({"a": 500.0, "b": 100.0}, {"en": 100.0, "fr": 500.0}))
+    rows = [(i, "ab"[i % 2], ["en", "fr"][i % 2], "some words") for i in range(20)]
+    with pytest.raises(ArithmeticError):
+        mixing.rates(table(spark, rows))
