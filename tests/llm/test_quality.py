@@ -87,3 +87,15 @@ def test_defined_cases(spark):
     assert quality.judged(docs.limit(0)).count() == 0
     same = spark.createDataFrame([(i, "en", "a", "the same words", 1, "") for i in range(80)], schema)
     assert all(r["accepted"] and r["d2"] is None for r in quality.judged(same).collect())  # singular: all stay
+
+
+def test_small_groups_are_drawn_towards_the_whole():
+    rng = np.random.default_rng(1)
+    whole, own = np.diag(rng.random(6) + 0.5), np.diag(rng.random(6) * 100 + 50)
+    zero, one = np.zeros(6), np.ones(6)
+    for n, w in ((0, 0), (quality.PRIOR, 0.5), (10**9, 1)):
+        centre, factor = quality.shrunk(n, one, own, zero, whole)
+        assert centre == pytest.approx(w * one, abs=1e-6)
+        assert np.linalg.inv(factor.T @ factor).diagonal() == pytest.approx(own.diagonal() ** w * whole.diagonal() ** (1 - w), rel=1e-5)
+    assert np.allclose(quality.shrunk(5, None, None, one, whole)[1], quality.factor_of(whole))
+    assert quality.shrunk(5, None, None, None, None) == (None, None)
