@@ -32,10 +32,16 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it: lineage ends there, so that losing an
-    executor later costs nothing that is already done."""
+    executor later costs nothing that is already done. The job's shuffle files go when it ends, as nothing
+    else reads them."""
     spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.parquet(path)
+    path, setting = shared_dir(spark, name), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
