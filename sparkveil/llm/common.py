@@ -30,11 +30,20 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches of 1,000 rows for Python workers, unless the session has a number of its own: 10,000 documents, of
+    which a worker holds some copies and the JVM another, are too many for a small executor."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(setting) == "10000":  # Spark's default
+        spark.conf.set(setting, "1000")
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it: lineage ends there, so that losing an
     executor later costs nothing that is already done. The job's shuffle files go when it ends, as nothing
     else reads them."""
     spark = df.sparkSession
+    small_batches(spark)
     path, setting = shared_dir(spark, name), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(setting, None)
     spark.conf.set(setting, "true")

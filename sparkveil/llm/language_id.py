@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffer_of, clean_text, pieces
+from .common import buffer_of, clean_text, pieces, small_batches
 
 DIMS = 4096
 #: Least cosine with the nearest prototype: almost four standard deviations of chance with 4,096 dimensions;
@@ -121,6 +121,7 @@ class Prototypes(dict):
 
 def prototypes(docs: DataFrame, dims: int = DIMS) -> Prototypes:
     """Those of each declared language, from all documents."""
+    small_batches(docs.sparkSession)
     slots, letters = letter_slots(), letter_vectors(dims)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -50,7 +50,7 @@ BITS = 128
 ALIKE = 0.5
 SHINGLE, BANDS, BAND_ROWS, SKETCH = 3, 32, 3, 1024
 #: Bytes of text, and rows, that are worked on at once.
-PIECE, ROWS = 400_000, 2000
+PIECE, ROWS = 400_000, 500
 #: Cost of a candidate pair in rows of keys written, sorted and joined.
 PAIR_COST = 0.1
 PARTITIONS = range(3, 11)
@@ -179,11 +179,11 @@ def vectors_of(doc: np.ndarray, h: np.ndarray, rows: int) -> np.ndarray:
     key, n = np.unique(doc * max(1, len(vocabulary)) + at, return_counts=True)
     doc, at = key // max(1, len(vocabulary)), key % max(1, len(vocabulary))
     v = np.zeros((rows, 256), np.float32)
-    for g in range(0, len(vocabulary), 8192):
-        own = (at >= g) & (at < g + 8192)
-        m = np.zeros((rows, min(8192, len(vocabulary) - g)), np.float32)
+    for g in range(0, len(vocabulary), 2048):
+        own = (at >= g) & (at < g + 2048)
+        m = np.zeros((rows, min(2048, len(vocabulary) - g)), np.float32)
         m[doc[own], at[own] - g] = np.rint(4 * np.sqrt(n[own]))  # whole numbers add up alike in any order
-        v += m @ signs(vocabulary[g : g + 8192])
+        v += m @ signs(vocabulary[g : g + 2048])
     return np.packbits(v > 0, axis=1).view(np.int64)
 
 

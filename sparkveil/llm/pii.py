@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import buffer_of, clean_text, pieces
+from .common import buffer_of, clean_text, pieces, small_batches
 
 TYPES = ["EMAIL", "PHONE", "IP", "CARD", "KEY", "ID"]
 LABELS = ["O", *(f"{x}-{t}" for t in TYPES for x in "BI")]
@@ -325,6 +325,7 @@ def decode(nodes: list, model: tuple[np.ndarray, np.ndarray, float], features: F
 
 def find_pii(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float] | None = None) -> DataFrame:
     """(doc_id, type, start, end, value) of each entity; places count characters from 0, end excluded."""
+    small_batches(docs.sparkSession)
     model = model or train()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
