@@ -101,12 +101,13 @@ def accepts(rule: Rule, path: Expr, filename: Expr, language: Expr, file_type: E
     return all_of(conditions)
 
 
-def keyword_gate(rules: list[Rule], lowered: Expr) -> Expr:
-    """One search for the keywords of all rules; true if a rule has none."""
-    keywords = sorted({k.lower() for r in rules for k in r.pre.include.content if k.strip()})
-    if not all(r.keyword_routed for r in rules):
-        return F.lit(True)
-    return lowered.rlike("|".join("\\Q" + k.replace("\\E", "\\E\\\\E\\Q") + "\\E" for k in keywords)) if keywords else F.lit(False)
+def keyword_gate(rules: list[Rule], path: Expr, filename: Expr, language: Expr, file_type: Expr, lowered: Expr) -> Expr:
+    """Whether a keyword of any rule is in a text; rules without keywords let through the files that they accept
+    by path. Keywords that hold another one needn't be looked for."""
+    keywords = {k.lower() for r in rules if r.keyword_routed for k in r.pre.include.content if k.strip()}
+    least = sorted(k for k in keywords if not any(x != k and x in k for x in keywords))
+    by_path = [accepts(r, path, filename, language, file_type, lowered) for r in rules if not r.keyword_routed]
+    return any_of([*by_path, *(has_keyword(lowered, k) for k in least)])
 
 
 def routes(files: DataFrame, rules: list[Rule]) -> DataFrame:

@@ -576,6 +576,21 @@ def rule_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outcomes(spark, load())
 
 
+def _gate_sql() -> str:
+    words = sorted({k.lower() for r in load() if r.keyword_routed for k in r.pre.include.content})
+    any_word = " OR ".join("contains(c, '" + w.replace("'", "''") + "')" for w in words)
+    by_path = r"file_type = 'MAIN' AND regexp_matches(path, '(^|/)(\.s3cfg|settings\.py|\.env)$')"
+    return f"SELECT doc_id, ({any_word} OR ({by_path})) AS gated FROM (SELECT doc_id, path, file_type, lower(content) AS c FROM files)"
+
+
+@_register(_with(then=_gate_sql()))
+def catalog_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which files the catalogue's keywords, or the paths of rules without keywords, let through."""
+    table = inputs.files(spark, sf_dir).withColumn("lowered", S.lower("content"))
+    gate = files.keyword_gate(load(), *map(col, ("path", "filename", "language", "file_type", "lowered")))
+    return table.select("doc_id", column(gate).alias("gated"))
+
+
 @_register()
 def catalog_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rules and checks over all documents."""

@@ -81,7 +81,7 @@ def _in_scope(config: ScanConfig) -> Expr:
 
 
 def _gate(rules: list[Rule]) -> Expr:
-    return files.is_main(F.col("file_type")) & (F.length("content") > 0) & files.keyword_gate(rules, F.col("lowered"))
+    return files.is_main(F.col("file_type")) & (F.length("content") > 0) & files.keyword_gate(rules, *map(F.col, ("path", "filename", "language", "file_type", "lowered")))
 
 
 def _scoped(table: DataFrame, config: ScanConfig) -> DataFrame:

@@ -50,14 +50,26 @@ def test_scan_has_no_shuffle_and_reads_few_columns(spark):
     assert "Exchange" not in plan and "Python" not in plan and "ReadSchema: struct<doc_id:bigint,text:string>" in plan
 
 
+def _issues_without_gate(table, rules):
+    gate, scan.files.keyword_gate = scan.files.keyword_gate, lambda *a: F.lit(True)
+    try:
+        return scan.issues(table, rules)
+    finally:
+        scan.files.keyword_gate = gate
+
+
 def test_catalogue_equals_its_rules_one_by_one(spark):
     """The gate for all keywords together lets through what the rules' own would."""
     rules, table = load(), inputs.files(spark, SF).withColumn("lowered", S.lower("content")).cache()
-    every = table.where(column(keyword_gate(rules, F.col("lowered")))).count()
-    routed = [r for r in rules if r.keyword_routed]
-    words = sorted({k.lower() for r in routed for k in r.pre.include.content})
-    some = table.where(S.greatest(*[S.contains("lowered", S.lit(w)) for w in words])).count()
-    assert every == table.count() if len(routed) < len(rules) else every == some
+    gate = column(keyword_gate(rules, *map(F.col, ("path", "filename", "language", "file_type", "lowered"))))
+    every, some = table.where(gate), table.where(S.greatest(*[S.contains("lowered", S.lit(w)) for w in sorted({k.lower() for r in rules for k in r.pre.include.content})]))
+    assert some.count() <= every.count()
+    alone = scan.issues(table.drop("lowered"), rules)
+    assert alone.where("rule_id is not null").join(every, "doc_id", "left_anti").count() == 0
+    assert rows(alone.columns, alone.collect()) == rows(alone.columns, _issues_without_gate(table.drop("lowered"), rules).collect())
+    # a table without planted lines is mostly left alone
+    pages = inputs.pages(spark, SF).withColumn("lowered", S.lower("content"))
+    assert pages.where(gate).count() < pages.count()
     table.unpersist()
 
 
