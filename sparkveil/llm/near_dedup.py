@@ -13,7 +13,8 @@ the thresholds, unequal where that is cheaper, from the keys that each needs and
 that it is estimated to raise, the latter from the distances of pseudo-random pairs of all nodes; the
 number of partitions is the one of least cost. Candidates are probed by joining on key: for t = 0
 the partition's bits; for t = 1 these and those with one set bit cleared (pairs meet at the common
-bits); for t = 2 all keys within one bit (pairs meet halfway). Every candidate is verified.
+bits); for t = 2 all keys within one bit (pairs meet halfway). Every candidate is verified. Keys are joined in
+passes, by partition and by hash of the key, so that only those of one pass are on disk at a time; so are bands, below.
 
 The fingerprints of short texts move far by a few words. Pairs whose sets of 3-word shingles have a Jaccard
 similarity of ``alike`` are therefore near duplicates too, at any length. Candidates meet in one of 32 bands
@@ -34,7 +35,7 @@ through the filter untouched.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +55,8 @@ PIECE, ROWS = 400_000, 500
 #: Cost of a candidate pair in rows of keys written, sorted and joined.
 PAIR_COST = 0.1
 PARTITIONS = range(3, 11)
+#: Keys of a node that one pass of the search joins, about, and keys of all nodes that a pass may have in any case.
+PASS, LEAST_PASS = 16, 2_000_000
 
 _CHAR = np.zeros(256, np.uint8)  # bytes of words: letters, digits and all of other scripts
 _CHAR[[*range(48, 58), *range(97, 123), *range(128, 256)]] = 1
@@ -238,7 +241,9 @@ def classes(fps: DataFrame) -> DataFrame:
     if several.isEmpty():
         return found.select(F.col("doc_id").alias("node"), "*")
     apart = matching(found, [F.col("doc_id")], several).select(F.xxhash64(F.lit("class"), "doc_id", *WORDS, "sh").alias("node"), "*")
-    return materialize(without(found, [F.col("doc_id")], several).select(F.col("doc_id").alias("node"), "*").unionByName(apart), "nodes")
+    nodes = materialize(without(found, [F.col("doc_id")], several).select(F.col("doc_id").alias("node"), "*").unionByName(apart), "nodes")
+    discard(found, several)
+    return nodes
 
 
 def alike_pairs(docs: DataFrame, nodes: DataFrame, known: DataFrame, alike: float) -> DataFrame:
@@ -255,10 +260,13 @@ def alike_pairs(docs: DataFrame, nodes: DataFrame, known: DataFrame, alike: floa
                 sh = set_hashes(row, s, hi - lo)[rows]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo).take(pa.array(rows)), pa.array(sh), pa.array(n), pa.ListArray.from_arrays(pa.array(ends), pa.array((s[least] >> 32).astype(np.int32)))], ["doc_id", "sh", "n", "s"])
 
-    keyed = nodes.select("node", F.explode("keys").alias("key"))
-    x, y = keyed.alias("x"), keyed.alias("y")
-    met = x.join(y.hint("merge"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    met = materialize(met.distinct().join(known, ["a", "b"], "left_anti"), "met")
+    def meet(lo: int, n: int) -> DataFrame:
+        keyed = nodes.select("node", F.explode(F.slice("keys", lo + 1, n)).alias("key"))
+        x, y = keyed.alias("x"), keyed.alias("y")
+        return x.join(y.hint("merge"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(known, ["a", "b"], "left_anti")
+
+    step = BANDS if nodes.count() * BANDS <= LEAST_PASS else max(1, PASS // 2)  # a band's row has half the bytes of a key's
+    met = together([meet(lo, step) for lo in range(0, BANDS, step)], "met")
     ids = materialize(met.select(F.col("a").alias("node")).union(met.select("b")).distinct().join(nodes, "node").select("node", "doc_id", "sh"), "met-ids")
     own = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     held = matching(own, [F.col("doc_id")], ids.select("doc_id")).mapInArrow(sets, "doc_id long, sh long, n long, s array<int>")
@@ -409,24 +417,59 @@ def keys_of(bits: np.ndarray, partitions: list[tuple[np.ndarray, int]]) -> tuple
 MEET = "(x.k & 255) = 1 or (y.k & 255) > (x.k & 255)"
 
 
+def passes(partitions: list[tuple[np.ndarray, int]], n: int) -> list[tuple[list[tuple[np.ndarray, int]], int, int]]:
+    """(partitions, k, of) of the passes for n nodes: those of the partitions' keys whose hash is k modulo of."""
+    most = max(PASS, LEAST_PASS / max(1, n))
+    out, left = [], most
+    for part, t in partitions:
+        keys = (1, 1 + len(part) / 2, 1 + len(part))[t]
+        of = int(-(-keys // most))
+        if of > 1:
+            out += [([(part, t)], k, of) for k in range(of)]
+            left = 0
+        elif out and keys <= left:
+            out[-1][0].append((part, t))
+            left -= keys
+        else:
+            out.append(([(part, t)], 0, 1))
+            left = most - keys
+    return out
+
+
+def together(parts: list[DataFrame], name: str) -> DataFrame:
+    """The distinct rows of all parts, written one after the other."""
+    if len(parts) == 1:
+        return materialize(parts[0], name)
+    parts = [materialize(p, name + "-part") for p in parts]
+    out = materialize(reduce(DataFrame.unionByName, parts).distinct(), name)
+    discard(*parts)
+    return out
+
+
 def pairs(nodes: DataFrame, threshold: int = THRESHOLD, check: int = CHECK) -> DataFrame:
     """(a, b), a < b, of all nodes (node, f0 to f3) that are near duplicates, each pair once."""
-    partitions = plan(nodes, threshold)
-
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                b = whole.slice(at, 2000)
-                keys, made, n = keys_of(unpack(b), partitions)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(keys << np.int64(8) | (made + np.int64(1))))
-                yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(3)), lists], ["node", "f0", "f1", "keys"])
-
-    # key and manner stay in one number until after the shuffle
-    probes = nodes.select("node", "f0", "f1").mapInArrow(probe, "node long, f0 long, f1 long, keys array<long>").select("node", "f0", "f1", F.explode("keys").alias("k"))
-    x, y = probes.alias("x"), probes.alias("y")
     differ = lambda a, b, words: sum((F.bit_count(F.col(f"{a}.{w}").bitwiseXOR(F.col(f"{b}.{w}"))) for w in words), F.lit(0))
-    near = x.join(y.hint("merge"), (F.shiftright("x.k", 8) == F.shiftright("y.k", 8)) & (F.col("x.node") < F.col("y.node")) & F.expr(MEET) & (differ("x", "y", WORDS[:2]) <= threshold))
-    found = materialize(near.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "pairs")
+
+    def one(partitions: list[tuple[np.ndarray, int]], k: int, of: int) -> DataFrame:
+        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for at in range(0, whole.num_rows, 2000):
+                    b = whole.slice(at, 2000)
+                    keys, made, n = keys_of(unpack(b), partitions)
+                    ends = np.concatenate([[0], np.cumsum(n)])
+                    if of > 1:
+                        own = mix64(keys.view(np.uint64)) % np.uint64(of) == k
+                        keys, made, ends = keys[own], made[own], np.concatenate([[0], np.cumsum(own)])[ends]
+                    lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(keys << np.int64(8) | (made + np.int64(1))))
+                    yield pa.RecordBatch.from_arrays([*(b.column(j) for j in range(3)), lists], ["node", "f0", "f1", "keys"])
+
+        # key and manner stay in one number until after the shuffle
+        probes = nodes.select("node", "f0", "f1").mapInArrow(probe, "node long, f0 long, f1 long, keys array<long>").select("node", "f0", "f1", F.explode("keys").alias("k"))
+        x, y = probes.alias("x"), probes.alias("y")
+        near = x.join(y.hint("merge"), (F.shiftright("x.k", 8) == F.shiftright("y.k", 8)) & (F.col("x.node") < F.col("y.node")) & F.expr(MEET) & (differ("x", "y", WORDS[:2]) <= threshold))
+        return near.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+    found = together([one(*p) for p in passes(plan(nodes, threshold), nodes.count())], "pairs")
     # the other 128 bits come by join, as the pairs are few beside the probes
     own = nodes.select("node", *WORDS)
     a, b = own.alias("na"), own.alias("nb")
@@ -461,8 +504,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _found(docs: DataFrame, threshold: int, check: int, alike: float | None) -> DataFrame:
     """(doc_id, h, dup_of, distance, links) of rows that are not the first of their group; h is the text's hash."""
-    fps = materialize(fingerprints(docs), "fingerprints")
-    nodes = classes(fps)
+    whole = materialize(fingerprints(docs), "fingerprints")
+    nodes = classes(whole)
+    fps = materialize(whole.select("doc_id", "h", *WORDS, "sh"), "fingerprints")  # only classes need the keys of bands
+    discard(whole)
     edges = materialize(pairs(nodes, threshold, check), "near")
     if alike is not None:
         edges = edges.union(alike_pairs(docs, nodes, edges, alike))

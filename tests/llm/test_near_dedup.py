@@ -163,3 +163,22 @@ def test_a_hot_text_is_split(spark):
     rows = [(i, hot if i % 3 == 0 else text(r, 40)) for i in range(1500)]
     found = nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), alike=nd.ALIKE).collect()
     assert {x["doc_id"]: x["dup_of"] for x in found} == {i: 0 for i in range(3, 1500, 3)}
+
+
+def test_passes_hold_few_keys_and_lose_no_pair(spark, monkeypatch):
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    nodes = nd.classes(materialize(nd.fingerprints(docs), "fingerprints"))
+    n = nodes.count()
+    once = sorted(map(tuple, nd.pairs(nodes).collect()))
+    met = sorted(map(tuple, nd.alike_pairs(docs, nodes, nd.pairs(nodes), nd.ALIKE).collect()))
+    monkeypatch.setattr(nd, "LEAST_PASS", 0)
+    monkeypatch.setattr(nd, "PASS", 9)
+    partitions = nd.plan(nodes, nd.THRESHOLD)
+    all_keys = sum(nd.keys_of(np.stack([nd.unpack(b)[0] for b in nodes.toArrow().to_batches(1)]), partitions)[2])
+    found = nd.passes(partitions, n)
+    assert len(found) >= all_keys / n / 9 > 2
+    assert all(sum((1, 1 + len(part) / 2, 1 + len(part))[t] for part, t in own) / of <= 9 for own, _, of in found)
+    assert sorted(map(tuple, nd.pairs(nodes).collect())) == once
+    assert len(once) > 20 and set(once) == {p for p in brute_pairs(rows, nd.THRESHOLD, nd.CHECK) if set(p) <= {r["node"] for r in nodes.collect()}}
+    assert sorted(map(tuple, nd.alike_pairs(docs, nodes, nd.pairs(nodes), nd.ALIKE).collect())) == met
