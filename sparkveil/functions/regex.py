@@ -89,6 +89,63 @@ def with_lead(pattern: str) -> str | None:
     return f"{flags}({lead}){pattern[at:]}"
 
 
+def context_free(pattern: str) -> bool:
+    """Whether what matches depends on its own characters alone: no look-around, anchor or boundary, nothing
+    possessive or atomic, no references. A match then matches alone as it does within a text, and stands at
+    the first place after the match before it that has the same characters."""
+    if r"\Q" in pattern or re.search(r"\\[bBAzZGRXk1-9]", re.sub(r"\\\\", "", pattern)):
+        return False
+    depths = _depths(pattern)
+    for i, c in enumerate(pattern):
+        if depths[i] != -1:
+            possessive = c == "+" and i > 0 and depths[i - 1] != -1 and pattern[i - 1] in "*+?}"
+            if c in "^$" or possessive or c == "(" and re.match(r"\(\?(?:[=!>]|<[=!])", pattern[i:]):
+                return False
+    return True
+
+
+#: So many matches are looked for in a text one by one; if there are more, a search for what is between them is cheaper.
+FEW = 8
+
+
+def _find_alone(content: Expr, pattern: str, names: list[str] | None) -> Expr:
+    """find_all for patterns free of context: one search of the text for whole matches, whose groups and places
+    follow from their own characters."""
+    groups = groups_of(pattern)
+    lead = with_lead(pattern)
+    own, shift = lead or pattern, 1 if lead else 0
+    numbers = {n: i + 1 + shift for i, (_, n) in enumerate(groups) if n}
+    wanted = [n for n in names or [] if n in numbers]
+
+    def parts(w: Expr) -> Expr:
+        fields = [w.alias("whole"), (F.regexp_extract(w, own, 1 + shift) if groups else w).alias("text")]
+        if lead:
+            fields.append(F.regexp_extract(w, own, 1).alias("lead"))
+        return F.struct(*fields, *(F.regexp_extract(w, own, numbers[n]).alias(f"n_{n}") for n in wanted))
+
+    def one(x: Expr, to: Expr) -> Expr:
+        at, text = to - F.length(x["whole"]), x["text"]
+        # an empty group 1 took no part, as patterns never match nothing
+        inner = (F.length(x["lead"]) if lead else F.position(text, x["whole"]) - 1) if groups else F.lit(0)
+        start = F.when(F.length(text) == 0, F.lit(-1)).otherwise(at + inner).cast("int")
+        end = F.when(F.length(text) == 0, F.lit(-1)).otherwise(at + inner + F.length(text)).cast("int")
+        named = [F.when(F.length(x[f"n_{n}"]) > 0, x[f"n_{n}"]).alias(n) for n in wanted]
+        return F.struct(text.alias("text"), start.alias("start"), end.alias("end"), at.cast("int").alias("whole_start"), to.cast("int").alias("whole_end"), *named)
+
+    none = F.array().cast("array<int>")
+    last = lambda ends: F.coalesce(F.get(ends, F.size(ends) - 1), F.lit(0))
+
+    def build(wholes: Expr) -> Expr:
+        one_by_one = F.aggregate(wholes, none, lambda ends, w: F.concat(ends, F.array((F.locate(w, content, last(ends) + 1) - 1 + F.length(w)).cast("int"))))
+        between = F.zip_with(wholes, F.slice(F.split(content, pattern, -1), 1, F.size(wholes)), lambda w, piece: (F.length(piece) + F.length(w)).cast("int"))
+        summed = F.aggregate(between, none, lambda ends, n: F.concat(ends, F.array((last(ends) + n).cast("int"))))
+        # of bytes that are no UTF-8 a search sees other characters than they are
+        ends = F.when((F.size(wholes) <= FEW) & F.is_valid_utf8(content), one_by_one).otherwise(summed)
+        return F.zip_with(F.transform(wholes, parts), ends, one)
+
+    return let(F.regexp_extract_all(content, F.lit(pattern), F.lit(0)), build)
+
+
 def find_all(content: Expr, pattern: str, names: list[str] | None = None) -> Expr:
     """Array of all matches: text and place of group 1 (of the whole match if there is no group), place of
     the whole match, and the texts of the named groups asked for, null where they took no part.
@@ -97,6 +154,8 @@ def find_all(content: Expr, pattern: str, names: list[str] | None = None) -> Exp
     matches before it. Patterns must not match empty texts. A match whose group 1 took no part has
     the start -1.
     """
+    if context_free(pattern):
+        return _find_alone(content, pattern, names)
     groups = groups_of(pattern)
     lead = with_lead(pattern)
     own = lead or pattern
@@ -142,7 +201,8 @@ def empty_matches(pattern: str, names: list[str] | None = None) -> Expr:
 
 def find_if_any(content: Expr, pattern: str, names: list[str] | None = None) -> Expr:
     """find_all, at the price of one search where nothing matches."""
-    return F.when(content.rlike(pattern), find_all(content, pattern, names)).otherwise(empty_matches(pattern, names))
+    any_ = content.isNotNull() if context_free(pattern) else content.rlike(pattern)
+    return F.when(any_, find_all(content, pattern, names)).otherwise(empty_matches(pattern, names))
 
 
 @dataclass(frozen=True)

@@ -106,6 +106,16 @@ def candidate_arrays(table: DataFrame, rules: list[Rule], config: ScanConfig = S
     return _gated(_scoped(table, config), rules).select("doc_id", "path", "content", column(_all_candidates(rules, config).alias("candidates")))
 
 
+def candidate_rows(table: DataFrame, rules: list[Rule], config: ScanConfig = ScanConfig(), then: Callable[[Expr], Expr] = lambda found: found) -> DataFrame:
+    """(doc_id, c) for each candidate of the files, or for each element of what then() makes of a file's candidates.
+
+    Rows come from the expression itself, with the gate inside it: of an array that is a column the optimizer computes
+    each field wanted anew, and of a filter on content the content."""
+    wanted = _in_scope(config) & _gate(rules)
+    found = F.when(wanted, _all_candidates(rules, config)).otherwise(F.array().cast(f"array<{CANDIDATE}>"))
+    return _with_marks(table, config).select("doc_id", S.explode(column(then(found))).alias("c"))
+
+
 def _issues_of_rules(found: Expr) -> Expr:
     """The winners among candidates, with their places."""
 

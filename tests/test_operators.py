@@ -102,6 +102,23 @@ def test_matches_and_their_places(spark, pattern, names):
             assert r[n] == m[n]
 
 
+def test_patterns_free_of_context():
+    assert all(map(regex.context_free, ['t = "([0-9a-f]{4})"', r"a\+\+(b+?)[$^b]", "(?i)(?<n>x|y){2,3}", r"[+]+\\b"]))
+    assert not any(map(regex.context_free, [r"\bab", "^a", "a$", "a++b", "a(?=b)", "(?<!a)b", "(?>a)b", r"(a)\1", r"\Qa\E", r"a\R", "a{2}+", "[a]++"]))
+
+
+@pytest.mark.parametrize("pattern", ["a(b)?", "a(b+)(a?)", "(a)(?:b|bb)c|b(c)", "ab+?", "é(.)", "(?:x(y)|y)z?"])
+def test_places_of_few_and_of_many_matches(spark, pattern):
+    """Matches looked for one by one have the places of those between which a text is split."""
+    for t in ("abbc", "bbab abb é\U0001f600aéb", "", "b", "xyzyz xy", "abbcabé"):
+        for text_ in (t, t * 20):
+            rows = evaluate(spark, regex.find_all(col("t"), pattern), t=text_)
+            want = list(re.finditer(pattern, text_))
+            assert [(r["whole_start"], r["whole_end"]) for r in rows] == [m.span() for m in want]
+            group = 1 if re.compile(pattern).groups else 0
+            assert [r["text"] for r in rows] == [m[group] or "" for m in want]
+
+
 def span(s, e):
     return F.struct(F.lit(s).alias("start"), F.lit(e).alias("end"))
 

@@ -50,6 +50,16 @@ def test_scan_has_no_shuffle_and_reads_few_columns(spark):
     assert "Exchange" not in plan and "Python" not in plan and "ReadSchema: struct<doc_id:bigint,text:string>" in plan
 
 
+def _searches(spark, name):
+    plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    return plan.count("regexp_extract_all("), plan.count("regexp_replace(")
+
+
+def test_candidates_are_searched_once(spark):
+    """A search for each of the four rules and the context, and the content made once, whatever fields are wanted."""
+    assert _searches(spark, "rule_candidates") == (5, 1) and _searches(spark, "overlap_resolve") == (5, 1)
+
+
 def _issues_without_gate(table, rules):
     gate, scan.files.keyword_gate = scan.files.keyword_gate, lambda *a: F.lit(True)
     try:
