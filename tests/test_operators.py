@@ -119,6 +119,15 @@ def test_places_of_few_and_of_many_matches(spark, pattern):
             assert [r["text"] for r in rows] == [m[group] or "" for m in want]
 
 
+def test_hidden_characters_are_told_by_one_comparison(spark):
+    """The range is first in the class, and leaves none of its characters out."""
+    assert hidden._ANY.startswith(r"[\x{202A}-\x{10FFFF}&&[")
+    codes = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3000 or c > 0xFD00 and c < 0x10100 or 0xDFF00 < c < 0xE0300)]
+    want = {*range(0x202A, 0x202C), 0x202D, 0x202E, *range(0x2066, 0x2069), *range(0xE0020, 0xE0080), *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)}
+    found = spark.createDataFrame([(c, chr(c)) for c in codes], "code int, t string").where(column(col("t").rlike(hidden._ANY))).select("code").collect()
+    assert {r["code"] for r in found} == want
+
+
 def span(s, e):
     return F.struct(F.lit(s).alias("start"), F.lit(e).alias("end"))
 

@@ -59,6 +59,7 @@ def test_candidates_are_searched_once(spark):
     """A search for each of the four rules and the context, and the content made once, whatever fields are wanted."""
     assert _searches(spark, "rule_candidates") == (5, 1) and _searches(spark, "overlap_resolve") == (5, 1)
     assert _searches(spark, "active_rules") == (2, 1)
+    assert _searches(spark, "issues_described")[0] == 7
 
 
 def _issues_without_gate(table, rules):
