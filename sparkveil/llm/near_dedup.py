@@ -148,15 +148,18 @@ def signs(h: np.ndarray) -> np.ndarray:
 
 
 def shingles_of(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of the distinct shingles of words (row, hash), ordered by both. Texts of fewer words have none."""
+    """(row, hash) of the distinct shingles of words (row, hash), ordered by both; words are ordered by row. Texts of
+    fewer words have none."""
     if len(h) < SHINGLE:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     with np.errstate(over="ignore"):
         s = mix64((h[:-2] * np.uint64(0x9E3779B97F4A7C15) + h[1:-1]) * np.uint64(0xC2B2AE3D27D4EB4F) + h[2:]).view(np.int64)
     inside = doc[2:] == doc[:-2]
     doc, s = doc[2:][inside], s[inside]
-    order = np.lexsort((s, doc))
-    doc, s = doc[order], s[order]
+    if len(s) == 0:
+        return doc, s
+    for own in np.split(s, np.flatnonzero(doc[1:] != doc[:-1]) + 1):  # parts of s, sorted in place
+        own.sort()
     first = np.ones(len(s), bool)
     first[1:] = (s[1:] != s[:-1]) | (doc[1:] != doc[:-1])
     return doc[first], s[first]
@@ -177,16 +180,18 @@ def bands_of(row: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def vectors_of(doc: np.ndarray, h: np.ndarray, rows: int) -> np.ndarray:
-    """The fingerprints of so many rows from their words (row, hash): four 64-bit words each."""
+    """The fingerprints of so many rows from their words (row, hash) in any order: four 64-bit words each."""
     vocabulary, at = np.unique(h, return_inverse=True)
     key, n = np.unique(doc * max(1, len(vocabulary)) + at, return_counts=True)
-    doc, at = key // max(1, len(vocabulary)), key % max(1, len(vocabulary))
+    doc, own = key // max(1, len(vocabulary)), vocabulary[key % max(1, len(vocabulary))] if len(vocabulary) else h
+    weight = np.rint(4 * np.sqrt(n)).astype(np.float32)  # whole numbers add up alike in any order
     v = np.zeros((rows, 256), np.float32)
-    for g in range(0, len(vocabulary), 2048):
-        own = (at >= g) & (at < g + 2048)
-        m = np.zeros((rows, min(2048, len(vocabulary) - g)), np.float32)
-        m[doc[own], at[own] - g] = np.rint(4 * np.sqrt(n[own]))  # whole numbers add up alike in any order
-        v += m @ signs(vocabulary[g : g + 2048])
+    # words come by row, so that so many of them belong to few rows
+    for g in range(0, len(key), 2048):
+        first, last = doc[g], doc[min(g + 2048, len(key)) - 1]
+        m = np.zeros((last - first + 1, min(2048, len(key) - g)), np.float32)
+        m[doc[g : g + 2048] - first, np.arange(m.shape[1])] = weight[g : g + 2048]
+        v[first : last + 1] += m @ signs(own[g : g + 2048])
     return np.packbits(v > 0, axis=1).view(np.int64)
 
 

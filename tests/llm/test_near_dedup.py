@@ -182,3 +182,28 @@ def test_passes_hold_few_keys_and_lose_no_pair(spark, monkeypatch):
     assert sorted(map(tuple, nd.pairs(nodes).collect())) == once
     assert len(once) > 20 and set(once) == {p for p in brute_pairs(rows, nd.THRESHOLD, nd.CHECK) if set(p) <= {r["node"] for r in nodes.collect()}}
     assert sorted(map(tuple, nd.alike_pairs(docs, nodes, nd.pairs(nodes), nd.ALIKE).collect())) == met
+
+
+def test_words_are_multiplied_for_their_own_rows(monkeypatch):
+    """The work grows with the words, not with rows times different words, and the fingerprints are those of each row alone."""
+    rng, signs, work = np.random.default_rng(5), nd.signs, []
+    doc = np.sort(rng.integers(0, 300, 30_000))
+    h = rng.integers(0, 1 << 16, 30_000, dtype=np.uint64)
+
+    class Seen(np.ndarray):
+        def __array_ufunc__(self, ufunc, method, *inputs, **kw):
+            if ufunc is np.matmul:
+                work.append(inputs[0].size)
+            return getattr(ufunc, method)(*map(np.asarray, inputs), **kw)
+
+    monkeypatch.setattr(nd, "signs", lambda x: signs(x).view(Seen))
+    own = nd.vectors_of(doc, h, 301)
+    assert 0 < sum(work) < 50 * len(h)
+    for r in (0, 7, 299):
+        words, n = np.unique(h[doc == r], return_counts=True)
+        total = (signs(words) * np.rint(4 * np.sqrt(n))[:, None]).sum(0)
+        assert (np.packbits(total > 0).view(np.int64) == own[r]).all()
+    assert not own[300].any()
+    row, s = nd.shingles_of(doc, h)
+    assert (np.lexsort((s, row)) == np.arange(len(row))).all() and len(np.unique(np.stack([row, s], 1), axis=0)) == len(row)
+    assert len(nd.shingles_of(np.arange(9), h[:9])[0]) == 0
